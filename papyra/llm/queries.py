@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from papyra.llm import line_dedup
+from papyra.llm import line_dedup, mixing, topk, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_warc": warc.op2_warc,
+        "op3_mixing": mixing.op3_mixing,
+        "op5_url_filter": urls.op5_url_filter,
+        "op9_topk": topk.op9_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
+        "op2_warc": warc.OP2_SQL,
+        "op9_topk": topk.OP9_SQL,
     }
