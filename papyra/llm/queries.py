@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import line_dedup, mixing, topk, urls, warc
+from papyra.llm import langid, line_dedup, mixing, topk, urls, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_warc": warc.op2_warc,
         "op3_mixing": mixing.op3_mixing,
         "op5_url_filter": urls.op5_url_filter,
+        "op7_language_id": langid.op7_language_id,
         "op9_topk": topk.op9_topk,
     }
 
