@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import langid, line_dedup, mixing, topk, urls, warc
+from papyra.llm import langid, line_dedup, mixing, neardup, topk, urls, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op5_url_filter": urls.op5_url_filter,
         "op7_language_id": langid.op7_language_id,
+        "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_topk": topk.op9_topk,
     }
 
