@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import langid, line_dedup, mixing, neardup, topk, urls, warc
+from papyra.llm import langid, line_dedup, mixing, neardup, packing, topk, urls, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_language_id": langid.op7_language_id,
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_topk": topk.op9_topk,
+        "op10_packing": packing.op10_packing,
     }
 
 
