@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 SIZES = (3, 4)
-PIECE = 1 << 19
+PIECE = 1 << 17
 _letters: np.ndarray | None = None
 
 
