@@ -28,9 +28,9 @@ def columns_with(row: str, schema: DataFrame, **new) -> list:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects null texts, texts without letters and texts in no learned language; a null lang is filled with the prediction."""
-    rows = identify(docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang"))
-    kept = rows.where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= LEAST_SCORE))
-    return kept.select(*columns_with("row", docs, lang=F.coalesce("row.lang", "language.lang_pred")))
+    rows = identify(docs, "__language")
+    kept = rows.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "__language.lang_pred")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

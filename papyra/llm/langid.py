@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -174,20 +174,18 @@ def fit(labelled: DataFrame, sample_docs: int = 1500, grams: int = 20_000, most_
     return Filters(names, [members.get(x, np.zeros(0, dtype=np.uint64)) for x in names])
 
 
-def predictor(spark: SparkSession, filters: Filters):
-    """A function of a text column: struct (lang_pred, score). `und` and 0 for null texts and texts without letters."""
-    sent = spark.sparkContext.broadcast(filters)
+def predicted(sent, text: int):
+    """Appends struct (lang_pred, score) to rows whose texts are in column number `text`, a few hundred texts at a time."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        out: tuple[list, list] = ([], [])
-        for at in range(0, len(texts), 512):
-            langs, scores = sent.value.predict(texts.iloc[at : at + 512].tolist())
-            out[0].extend(langs)
-            out[1].extend(scores)
-        return pd.DataFrame({"lang_pred": out[0], "score": out[1]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                langs, scores = sent.value.predict(part.column(text).to_pylist())
+                guess = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, guess], [*part.schema.names, "__guess"])
 
-    return predict
+    return run
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -204,8 +202,11 @@ def identify(docs: DataFrame, into: str = "language") -> DataFrame:
     """
     spark = docs.sparkSession
     filters = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    guess = predictor(spark, filters)(F.col("text"))
-    return docs.withColumn(into, guess).withColumn(into, F.struct(held_out(F.col("doc_id")).alias("held_out"), F.col(f"{into}.lang_pred"), F.col(f"{into}.score")))
+    sent = spark.sparkContext.broadcast(filters)
+    schema = T.StructType([*docs.schema, T.StructField("__guess", T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))])
+    rows = docs.mapInArrow(predicted(sent, docs.columns.index("text")), schema)
+    judged = F.struct(held_out(F.col("doc_id")).alias("held_out"), F.col("__guess.lang_pred"), F.col("__guess.score"))
+    return rows.withColumn(into, judged).drop("__guess")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
