@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from papyra import registry
-from papyra.plans import text_plans  # noqa: F401
+from papyra.plans import search_plans, text_plans  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.QUERIES["normalized_pages"](spark, sf_dir)
+    return registry.QUERIES["library_phrase_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, registry.Query]:
