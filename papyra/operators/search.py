@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,18 +51,27 @@ def match_rows(pages: DataFrame, query: str, case_sensitive: bool = False, per_p
     return rows.select("doc", "src", "start", tx.snippet(F.col("normalized"), F.col("start"), len(prepared)).alias("snippet"))
 
 
-def byte_grams(text: Column) -> Column:
-    """Distinct four-byte windows of the UTF-8 text, as hex."""
-    data = F.encode(text, "UTF-8")
-    n = F.octet_length(data)
-    return F.when(n >= 4, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.hex(F.substring(data, i, 4))))).otherwise(F.array().cast("array<string>"))
+def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text) to (gram, df): four-byte windows of the UTF-8 texts as numbers, each text's once, added up for some hundred texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            found = [np.zeros(0, dtype=np.uint32)]
+            for text in batch.column(0).slice(at, 512).to_pylist():
+                data = np.frombuffer((text or "").encode(), dtype=np.uint8).astype(np.uint32)
+                if len(data) >= 4:
+                    found.append(np.unique(data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]))
+            gram, df = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(df.astype(np.int64))], ["gram", "df"])
 
 
 def gram_index(docs: DataFrame) -> DataFrame:
-    """Rows (gram, df, dropped) of documents (slot, folded): grams in more than 15 % of them are dropped."""
+    """Rows (gram, df, dropped) of documents (slot, folded), a row each: grams in more than 15 % of them are dropped.
+
+    Windows of bytes have no fast JVM-side form; counts leave Python already added up.
+    """
     cutoff = max(1, -(-docs.count() * 15 // 100))
-    grams = docs.select("slot", F.explode(byte_grams(F.col("folded"))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("df")).withColumn("dropped", F.col("df") > cutoff)
+    counts = docs.select("folded").mapInArrow(gram_counts, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+    return counts.select(F.lpad(F.hex("gram"), 8, "0").alias("gram"), "df", (F.col("df") > cutoff).alias("dropped"))
 
 
 def gram_candidates(docs: DataFrame, query: str) -> DataFrame:
@@ -87,16 +100,58 @@ def gram_candidates(docs: DataFrame, query: str) -> DataFrame:
     return docs.where(every | F.col("folded").isNull()).select("slot")
 
 
+#: Symbols of a trigram: A to Z, then digit, white space and all else.
+DIGIT, SPACE, OTHER = "[", "\\", "]"
+
+
 def trigram_symbols(text: Column) -> Column:
-    """Text over 29 symbols, as characters A to ] : letters without case, digits, white space, all else."""
-    out = F.regexp_replace(F.upper(F.regexp_replace(text, r"[^A-Za-z0-9\s]", "]")), r"[0-9]", "[")
-    return F.regexp_replace(out, r"\s", r"\\\\")
-
-
-def trigram_ids(text: Column) -> Column:
-    """Distinct numbers (0..32767) of three neighbouring symbols."""
-    s = trigram_symbols(text)
-    code = lambda i: F.ascii(F.substring(s, i, 1)) - 65
-    n = F.char_length(s)
-    ids = F.transform(F.sequence(F.lit(1), n - 2), lambda i: code(i) * 1024 + code(i + 1) * 32 + code(i + 2))
-    return F.when(n >= 3, F.array_distinct(ids)).otherwise(F.array().cast("array<int>"))
+    """Text over 29 symbols: letters without case, digits, white space, all else."""
+    out = F.upper(F.regexp_replace(text, r"[^A-Za-z0-9\x09-\x0D\x20]", OTHER))
+    return F.translate(out, "0123456789 \t\n\x0b\x0c\r", DIGIT * 10 + SPACE * 6)
+
+
+def trigrams_of(query: str) -> list[str]:
+    """The distinct trigrams of a query, as symbols."""
+    kind = lambda c: c.upper() if c.isascii() and c.isalpha() else DIGIT if c in "0123456789" else SPACE if c in " \t\n\x0b\x0c\r" else OTHER
+    s = "".join(map(kind, query))
+    return sorted({s[i : i + 3] for i in range(len(s) - 2)})
+
+
+def admits(text: Column, query: str) -> Column:
+    """Whether a text has every trigram of the query, so that it may hold it; a query of fewer than three characters is always admitted."""
+    symbols, ok = trigram_symbols(text), F.lit(True)
+    for t in trigrams_of(query):
+        ok = ok & F.contains(symbols, F.lit(t))
+    return ok
+
+
+def _symbol_codes() -> np.ndarray:
+    """Number of a symbol by byte of UTF-8; 255 for bytes inside a character."""
+    codes = np.full(256, 28, dtype=np.uint8)
+    codes[0x80:0xC0] = 255
+    for c in range(26):
+        codes[0x41 + c] = codes[0x61 + c] = c
+    codes[0x30:0x3A] = 26
+    codes[[0x20, 9, 10, 11, 12, 13]] = 27
+    return codes
+
+
+def trigram_bitmap(pages: list[str | None]) -> bytes:
+    """4096 bytes: a bit for each trigram that a page has, by number of its symbols (5 bits each)."""
+    seen, codes = np.zeros(1 << 15, dtype=bool), _symbol_codes()
+    for page in pages:
+        s = codes[np.frombuffer((page or "").encode(), dtype=np.uint8)]
+        s = s[s < 255].astype(np.int64)
+        seen[s[:-2] << 10 | s[1:-1] << 5 | s[2:]] = True
+    return np.packbits(seen).tobytes()
+
+
+def trigram_bitmaps(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, bits) of documents whose pages are the lines of text: one map-only pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [trigram_bitmap((t or "").split("\n")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], [key, "bits"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, bits binary")

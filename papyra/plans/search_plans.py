@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as tx
 from papyra.operators import search
-from papyra.plans.text_plans import NORM_SQL, PAGES_SQL, pages
+from papyra.plans.text_plans import NORM_SQL
 from papyra.registry import query, table
 
 PATH = "concat('/lib/', source, '/', lpad(cast(doc_id as string), 8, '0'), '.pdf')"
@@ -117,20 +117,18 @@ query("gram_candidates_absent", _candidates_sql("zzzznotthere"))(_candidates("zz
 query("gram_candidates_unknown", "SELECT doc_id AS slot FROM documents")(_candidates("abc"))
 
 
-@query(
-    "trigram_admission",
-    """WITH s AS (SELECT doc_id, translate(regexp_replace(regexp_replace(upper(regexp_replace(substr(text, 1, 2000), '[^A-Za-z0-9\\s]', ']', 'g')), '[0-9]', '[', 'g'), '\\s', chr(92) || chr(92), 'g'), 'x', 'x') AS s FROM documents)
-    SELECT doc_id, contains(s, 'TION') OR (contains(s, 'TIO') AND contains(s, 'ION')) AS admitted FROM s""",
-)
+SYMBOLS_SQL = "translate(upper(regexp_replace({text}, '[^A-Za-z0-9\\x09-\\x0D\\x20]', ']', 'g')), '0123456789 ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '[[[[[[[[[[' || repeat(chr(92), 6))"
+
+
+@query("trigram_admission", f"WITH s AS (SELECT doc_id, {SYMBOLS_SQL.format(text='text')} AS s FROM documents) SELECT doc_id, contains(s, 'TIO') AND contains(s, 'ION') AND contains(s, 'ON' || chr(92)) AND contains(s, 'N' || chr(92) || 'A') AS admitted FROM s")
 def trigram_admission(spark, sf_dir):
     """SCH-01, SCH-02, SCH-04."""
-    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", search.trigram_ids(F.substring("text", 1, 2000)).alias("ids"))
-    wanted = search.trigram_ids(F.lit("Tion"))
-    return rows.select("doc_id", (F.size(F.array_except(wanted, "ids")) == 0).alias("admitted"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", search.admits(F.col("text"), "Tion a").alias("admitted"))
 
 
-@query("trigram_bitmap_popcount")
+@query("trigram_bitmap_popcount", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), s AS (SELECT doc_id, {SYMBOLS_SQL.format(text='raw')} AS s FROM l),
+    t AS (SELECT doc_id, substr(s, i, 3) AS t FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1)) AS i FROM s)), n AS (SELECT doc_id, count(DISTINCT t) AS n FROM t GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS bits FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id""")
 def trigram_bitmap_popcount(spark, sf_dir):
     """SCH-03, SNK-04: 4096-byte bitmaps, one for each document, and how many bits are set."""
-    rows = pages(spark, sf_dir).select("doc_id", F.explode(search.trigram_ids(F.col("raw"))).alias("id"))
-    return rows.groupBy("doc_id").agg(F.bitmap_count(F.bitmap_construct_agg(F.col("id").cast("long"))).alias("bits"))
+    return search.trigram_bitmaps(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.bitmap_count("bits").alias("bits"))

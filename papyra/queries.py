@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from papyra import registry
-from papyra.plans import search_plans, text_plans  # noqa: F401
+from papyra.plans import library_plans, search_plans, text_plans  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
