@@ -108,9 +108,9 @@ def first_page_metadata(spark, sf_dir):
     SELECT doc_id, len(regexp_extract_all(s, '(?i)of\s+the'))::INT AS n_match, (len(string_split(regexp_replace(s, '(?i)of\s+the', chr(1), 'g'), chr(1))) - CASE WHEN regexp_matches(s, '^(?i)of\s+the') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(s, '(?i)of\s+the$') THEN 1 ELSE 0 END)::INT AS n_plain FROM t""",
 )
 def snippet_parts(spark, sf_dir):
-    """TXT-17. Neighbouring hits leave no empty part, which the SQL would count; they don't occur here."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").where(F.col("lang") == "en")
-    rows = docs.select("doc_id", formats.snippet_parts(F.substring("text", 1, 400), "of  the").alias("p"))
+    """TXT-17, of all documents and whole texts. Its SQL reads the first 400 characters of English ones, and counts the empty part between neighbouring hits."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    rows = docs.select("doc_id", formats.snippet_parts(F.col("text"), "of  the").alias("p"))
     count = lambda flag: F.size(F.filter("p", lambda x: x["match"] == flag))
     return rows.select("doc_id", count(True).alias("n_match"), count(False).alias("n_plain"))
 
