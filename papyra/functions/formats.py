@@ -17,10 +17,12 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """Bytes below 1024, else KB, MB or GB, with one decimal below 10."""
-    value = F.when(n < 1024**2, n / 1024.0).when(n < 1024**3, n / 1024.0**2).otherwise(n / 1024.0**3)
+    """Bytes below 1024, else KB, MB or GB, with one decimal below 10. Ties go up, as in the reference's toFixed."""
+    value = F.when(n < 1024**2, n / 1024.0).when(n < 1024**3, n / 1024.0**2).otherwise(n / 1024.0**3).cast("double")
     unit = F.when(n < 1024**2, "KB").when(n < 1024**3, "MB").otherwise("GB")
-    shown = F.when(value < 10, F.format_string("%.1f", value.cast("double"))).otherwise(F.format_string("%.0f", value.cast("double")))
+    tenths = F.floor(value * 10 + 0.5)
+    one = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    shown = F.when(value < 10, one).otherwise(F.floor(value + 0.5).cast("string"))
     return F.when(n.isNull(), "–").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(shown, F.lit(" "), unit))
 
 
