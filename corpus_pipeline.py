@@ -41,9 +41,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the row of the smallest id stays; of rows that repeat id and text, one."""
+    """Of each class of near duplicates the row of the smallest id stays, of equal or null ids that of the least text hash; of rows that repeat id and text, one."""
     key = row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))
-    stay = near_duplicates(docs.select("doc_id", "text")).where(F.col("__id") == F.col("class_id")).select("__id", "__t1")
+    stay = near_duplicates(docs.select("doc_id", "text")).where((F.col("__id") == F.col("class_id")) & (F.col("__t1") == F.col("class_t1"))).select("__id", "__t1")
     rows = docs.select(F.struct("*").alias("row"), *key).join(stay, ["__id", "__t1"])
     return rows.dropDuplicates(["__id", "__t1"]).select(*columns_with("row", docs))
 

@@ -261,9 +261,9 @@ def components(links: DataFrame, scratch: Scratch, name: str, most_rounds: int =
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, samples: int = 24, band_rows: int = 3, tile: int = 192) -> DataFrame:
-    """Classes of near-duplicate rows: (__id, __t1, class_id), a row for each distinct (id, text).
+    """Classes of near-duplicate rows: (__id, __t1, class_id, class_t1), a row for each distinct (id, text).
 
-    class_id is the smallest id of the class. Null texts and texts without words are each a class of its own, copies
+    class_id and class_t1 are the smallest (__id, __t1) of the class, which tell it from others where ids are null or repeat. Null texts and texts without words are each a class of its own, copies
     included. A null id counts as the least long. Rows that repeat an id and text are one. Columns may have any names;
     doc_id and text alone are read. An empty table gives no rows.
     """
@@ -322,11 +322,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, samples: int = 24, band
     spread = spread.repartition("tile").sortWithinPartitions("tile", "node")
     more = scratch.write(spread.mapInArrow(tile_links(sent, least), "a long, b long"), "links-4")
     labels = components(links.union(more), scratch, "round-4")
-    joined = nodes.select("node", "set", "__id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least_id = joined.groupBy("label").agg(F.min("__id").alias("class_id"))
-    named = joined.join(least_id, "label").select("set", "class_id")
+    joined = nodes.select("node", "set", "__id", "__t1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least_id = joined.groupBy("label").agg(F.min(F.struct("__id", "__t1")).alias("least"))
+    named = joined.join(least_id, "label").select("set", F.col("least.__id").alias("class_id"), F.col("least.__t1").alias("class_t1"))
     # the rows of a set: a third of all rows may share one, and Spark splits that partition
-    out = sets.join(named, "set", "left").select("__id", "__t1", F.coalesce("class_id", "__id").alias("class_id"))
+    out = sets.join(named, "set", "left").select("__id", "__t1", F.coalesce("class_id", "__id").alias("class_id"), F.coalesce("class_t1", "__t1").alias("class_t1"))
     return out
 
 
