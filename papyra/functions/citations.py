@@ -18,7 +18,7 @@ SCHEMA = "struct<scheme:string,value:string>"
 
 def identifier(doi: Column, arxiv: Column) -> Column:
     """Struct (scheme, value) of the one that is not empty: DOIs lower-cased, arXiv ids without version; null if both are."""
-    value = F.regexp_replace(arxiv, r"[vV]\d+$", "")
+    value = F.regexp_replace(arxiv, r"[vV]\d+\z", "")
     return (
         F.when(doi != "", F.struct(F.lit("doi").alias("scheme"), F.lower(doi).alias("value")))
         .when(arxiv != "", F.struct(F.lit("arxiv").alias("scheme"), value.alias("value")))
@@ -56,7 +56,7 @@ def parse(text: Column) -> Column:
 
 def from_filename(name: Column) -> Column:
     """An arXiv id that the name holds, else the first DOI whose slash is written as an underscore."""
-    stem = F.regexp_replace(name, r"\.(?:pdf|PDF)$", "")
+    stem = F.regexp_replace(name, r"\.(?:pdf|PDF)\z", "")
     own = parse(F.regexp_replace(stem, r"^(?:arXiv|arxiv)[-_]", ""))
     doi = F.regexp_extract(F.regexp_replace(F.regexp_extract(stem, r"(10\.\d{4,9}_.*)$", 1), r"^(10\.\d{4,9})_", "$1/"), f"^({DOI})", 1)
     return F.when(own["scheme"] == "arxiv", own).otherwise(identifier(doi, F.lit("")))

@@ -63,7 +63,7 @@ def shortcut(spec: Column, parts: dict[str, str] = PC_PARTS, joint: str = "+") -
 def colour_channels(text: Column) -> Column:
     """Struct (r, g, b) of #rrggbb; shorter or malformed ones are black."""
     digits = F.regexp_replace(text, "^#+", "")
-    ok = digits.rlike("^[0-9A-Fa-f]{6}$")
+    ok = digits.rlike("^[0-9A-Fa-f]{6}\\z")
     channel = lambda at: F.when(ok, F.conv(F.substring(digits, at, 2), 16, 10).cast("int")).otherwise(0)
     return F.struct(channel(1).alias("r"), channel(3).alias("g"), channel(5).alias("b"))
 

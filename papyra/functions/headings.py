@@ -13,7 +13,7 @@ STRUCTURAL = [
 #: Grammar of headings and captions. Possessive, as a printed counter is never taken in part.
 HEADING = r"^\s*(\p{Lu}\p{L}{2,}+)\s*+((?:[A-Z]{1,3}+|\d++)(?:\.\d++)*+)(?![A-Za-z0-9])"
 CAPTION = r"(?i)^\s*(figure|fig\.|table|algorithm|alg\.|listing)\s*+((?:\d|\.(?=\d))++)\s*+(?:$|[:.)|–—][:.)|–— ]*+)(.*)$"
-COUNTER = r"^[^.]*\.((?:[0-9]+|[A-Za-z]{1,3})(?:\.(?:[0-9]+|[A-Za-z]{1,3}))*)$"
+COUNTER = r"^[^.]*\.((?:[0-9]+|[A-Za-z]{1,3})(?:\.(?:[0-9]+|[A-Za-z]{1,3}))*)\z"
 
 
 def is_structural(name: Column) -> Column:

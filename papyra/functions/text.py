@@ -21,7 +21,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 QUOTES = {**dict.fromkeys("\u2018\u2019\u201a\u2032", "'"), **dict.fromkeys("\u201c\u201d\u201e\u2033", '"')}
 _white = re.compile(f"[{WHITE}]")
 #: Texts of these characters alone need no Unicode tables: ASCII but for control characters, and the Latin-1 letters.
-SIMPLE = r"^[\x09-\x0D\x20-\x7EÀ-ÖØ-öø-ÿ]*$"
+SIMPLE = r"\A[\x09-\x0D\x20-\x7EÀ-ÖØ-öø-ÿ]*\z"
 SNIPPET = 30
 BREAKS = "array<struct<at:int,delta:int>>"
 

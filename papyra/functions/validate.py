@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 SCHEMES = ("http", "https", "mailto")
 MOST_URL_BYTES, MOST_TOKEN_BYTES, MOST_COPIES = 4096, 128, 99
-TOKEN = r"^[A-Za-z0-9._][A-Za-z0-9._-]{0,127}$"
+#: Java's $ also matches before a last line end, so whole texts are matched by \\A and \\z.
+TOKEN = r"\A[A-Za-z0-9._][A-Za-z0-9._-]{0,127}\z"
 
 
 def url_host(url: Column) -> Column:
@@ -62,19 +63,19 @@ def sanitized_url(url: Column) -> Column:
 def is_page_range(text: Column) -> Column:
     """`3`, `2-5`, `1,4,7-9`: pages of 1 to 6 digits above 0, no range backwards, 128 bytes at most."""
     number = lambda p, i: F.split_part(p, F.lit("-"), F.lit(i)).try_cast("int")
-    shape = text.rlike(r"^\d{1,6}(-\d{1,6})?(,\d{1,6}(-\d{1,6})?)*$") & (F.octet_length(text) <= MOST_TOKEN_BYTES)
+    shape = text.rlike(r"\A\d{1,6}(-\d{1,6})?(,\d{1,6}(-\d{1,6})?)*\z") & (F.octet_length(text) <= MOST_TOKEN_BYTES)
     good = F.forall(F.split(text, ","), lambda p: (number(p, 1) > 0) & (~p.contains("-") | (number(p, 2) >= number(p, 1))))
     return F.coalesce(shape & good, F.lit(False))
 
 
 def range_problem(text: Column, pages: Column) -> Column:
-    """What is wrong with a range, as shown to its writer, or null: the first bad part decides."""
+    """What is wrong with a range, as shown to its writer, or null: the first bad part decides. The messages are fixed values."""
     own = F.btrim(text, F.lit(" \t\r\n"))
 
     def wrong(p):
         one, two = F.split_part(p, F.lit("-"), F.lit(1)).try_cast("long"), F.split_part(p, F.lit("-"), F.lit(-1)).try_cast("long")
         return (
-            F.when(~p.rlike(r"^\d+(-\d+)?$"), F.concat(F.lit('"'), p, F.lit('" is not a page or a range.')))
+            F.when(~p.rlike(r"\A\d+(-\d+)?\z"), F.concat(F.lit('"'), p, F.lit('" is not a page or a range.')))
             .when((one < 1) | (two < 1), F.lit("Pages start at 1."))
             .when(two < one, F.concat(F.lit('"'), p, F.lit('" runs backwards.')))
             .when(two > pages, F.concat(F.lit("This document has "), pages.cast("string"), F.lit(" pages.")))
@@ -87,7 +88,7 @@ def range_problem(text: Column, pages: Column) -> Column:
 def pages_in_range(text: Column, pages: Column) -> Column:
     """Sorted 0-based pages of a range, or null if any part is malformed or beyond the document."""
     part = lambda p, i: F.split_part(p, F.lit("-"), F.lit(i)).try_cast("int")
-    shape = text.rlike(r"^\d+(-\d+)?(,\d+(-\d+)?)*$")
+    shape = text.rlike(r"\A\d+(-\d+)?(,\d+(-\d+)?)*\z")
     good = F.forall(F.split(text, ","), lambda p: (part(p, 1) >= 1) & (part(p, -1) >= part(p, 1)) & (part(p, -1) <= pages))
     every = F.flatten(F.transform(F.split(text, ","), lambda p: F.sequence(part(p, 1) - 1, part(p, -1) - 1)))
     return F.when(F.coalesce(shape & good, F.lit(False)), F.array_sort(F.array_distinct(every)))
@@ -132,5 +133,5 @@ def print_arguments(printer: Column, copies: Column, pages: Column, options: Col
 
 def page_jump(text: Column, pages: Column) -> Column:
     own = F.btrim(text)
-    n = F.when(own.rlike(r"^\d{1,7}$"), own.cast("int"))
+    n = F.when(own.rlike(r"\A\d{1,7}\z"), own.cast("int"))
     return F.when(n.between(1, pages), n)

@@ -69,3 +69,14 @@ def sample_indices(total: Column, limit: int) -> Column:
     spread = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.floor(i * (total - 1) / float(max(limit - 1, 1)) + 0.5).cast("int"))
     every = F.when(total > 0, F.sequence(F.lit(0), (total - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.when(total <= limit, every).otherwise(F.array_distinct(spread))
+
+
+def restored_session(raw: Column) -> Column:
+    """Struct of tabs (paths) and active out of a stored session: entries that are no tabs are left out, what is torn is empty."""
+    path = lambda t: F.try_variant_get(t, "$.path", "string")
+    whole = F.try_parse_json(raw)
+    kind = lambda v, p: F.schema_of_variant(F.try_variant_get(v, p, "variant"))
+    tabs = F.when(F.startswith(kind(whole, "$.tabs"), F.lit("ARRAY")), F.try_variant_get(whole, "$.tabs", "array<variant>"))
+    tabs = F.filter(F.coalesce(tabs, F.array().cast("array<variant>")), lambda t: F.coalesce(kind(t, "$.path") == "STRING", F.lit(False)))
+    active = F.when(kind(whole, "$.activePath") == "STRING", F.try_variant_get(whole, "$.activePath", "string"))
+    return F.struct(F.transform(tabs, path).alias("tabs"), active.alias("active"))
