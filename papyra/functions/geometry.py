@@ -91,9 +91,71 @@ def zoom_step(zoom: Column, up: bool) -> Column:
     return F.coalesce(F.try_element_at(F.filter(ladder, lambda z: z < zoom - 1e-6), F.lit(-1)), F.lit(ZOOMS[0]))
 
 
+def anchored_scroll(old: dict, new: dict, scroll: Column, at: Column, low: str, size: str) -> Column:
+    """Scroll position along one axis that keeps what lies `at` pixels into the view there: the same part of the page before and
+    after. old and new are the page's boxes, dicts of columns; beyond the page its nearest edge holds."""
+    part = clamp((scroll + at - old[low]) / old[size], 0.0, 1.0)
+    return F.greatest(F.lit(0.0), new[low] + part * new[size] - at)
+
+
+def view_fraction(page: dict, view: dict) -> Column:
+    """Struct x, y, w, h: what part of a page box the view shows, as parts of the page; null if none. Dicts of columns x, y, w, h."""
+    x, y = F.greatest(view["x"], page["x"]), F.greatest(view["y"], page["y"])
+    right, bottom = F.least(view["x"] + view["w"], page["x"] + page["w"]), F.least(view["y"] + view["h"], page["y"] + page["h"])
+    shown = (page["w"] != 0) & (page["h"] != 0) & (right > x) & (bottom > y)
+    part = ((x - page["x"]) / page["w"], (y - page["y"]) / page["h"], (right - x) / page["w"], (bottom - y) / page["h"])
+    return F.when(shown, F.struct(*[c.alias(n) for c, n in zip(part, "xywh", strict=True)]))
+
+
+def view_origin(page: dict, view: dict) -> tuple[Column, Column]:
+    """Where the view's corner lies in a page's box, as parts of it, outside it too."""
+    return (view["x"] - page["x"]) / page["w"], (view["y"] - page["y"]) / page["h"]
+
+
+def scroll_to(page: dict, x: Column, y: Column) -> tuple[Column, Column]:
+    """The scroll position (left, top) that puts this part of a page at the view's corner."""
+    return page["x"] + x * page["w"], page["y"] + y * page["h"]
+
+
+def page_y(content_y: Column, top: Column, zoom: Column, page_h: Column) -> Column:
+    """Page space y, up, of a scroll offset."""
+    return page_h - (content_y - top) / zoom
+
+
+def is_tiled(w: Column, h: Column, rotation: Column, scale_milli: Column, threshold: int = 4_000_000) -> Column:
+    """Whether a page rendered at this scale has more pixels than one picture may."""
+    pixels = lambda v: F.greatest(F.lit(1).cast("long"), F.floor(v * scale_milli / 1000 + 0.5).cast("long"))
+    return pixels(F.when(turned(rotation), h).otherwise(w)) * pixels(F.when(turned(rotation), w).otherwise(h)) > threshold
+
+
+def follow(position: Column, start: Column, view: Column, total: Column) -> Column:
+    """Scroll target that keeps a position within the middle half of the view, moving no more than that takes."""
+    margin = view * 0.25
+    moved = F.when(position - start < margin, position - margin).when(position - start > view - margin, position - view + margin).otherwise(start)
+    return F.greatest(F.lit(0.0), F.least(F.greatest(F.lit(0.0), total - view), moved))
+
+
+#: Largest sizes of a preview, and of one that fits its content with its frame and least width.
+PREVIEW, FITTED, FRAME, LEAST_FITTED = (420, 320), (504, 384), (26, 42), 140
+
+
+def preview_size(view_w: Column, view_h: Column, content_w: Column, content_h: Column) -> tuple[Column, Column]:
+    """Width and height of a preview inside a view; null content: the plain size, else as large as what it shows."""
+    free_w, free_h = F.greatest(F.lit(0.0), view_w - 16), F.greatest(F.lit(0.0), view_h - 16)
+    most = F.least(F.lit(float(FITTED[0])), free_w)
+    w = F.least(most, F.greatest(F.least(F.lit(float(LEAST_FITTED)), most), F.ceil(content_w + FRAME[0]).cast("double")))
+    fitted = content_h * F.least(F.lit(1.0), F.greatest(F.lit(1.0), w - FRAME[0]) / content_w)
+    h = F.least(F.lit(float(FITTED[1])), free_h, F.ceil(fitted + FRAME[1]).cast("double"))
+    plain = content_w.isNull()
+    return F.when(plain, F.least(F.lit(float(PREVIEW[0])), free_w)).otherwise(w), F.when(plain, F.least(F.lit(float(PREVIEW[1])), free_h)).otherwise(h)
+
+
+def beside(first: Column, second: Column, size: Column, view: Column) -> Column:
+    """One coordinate of a box that should begin at first, or at second where it would leave the view; held 8 pixels inside."""
+    start = F.when(first + size > view - 8, second).otherwise(first)
+    return F.greatest(F.lit(8.0), F.least(start, view - size - 8))
+
+
 def popover(left: Column, top: Column, right: Column, bottom: Column, w: Column, h: Column, view_w: Column, view_h: Column) -> tuple[Column, Column]:
-    """Left and top of a popover: right of its anchor, left of it where that doesn't fit; level with it or ending with it; inside the view."""
-    x = F.when(right + 10 + w > view_w - 8, left - w - 10).otherwise(right + 10)
-    y = F.when(top + h > view_h - 8, bottom - h).otherwise(top)
-    inside = lambda v, own, most: F.greatest(F.lit(8), F.least(v, most - own - 8))
-    return inside(x, w, view_w), inside(y, h, view_h)
+    """Left and top of a w x h box at an anchor's right, else its left; level with its top, else ending with its bottom."""
+    return beside(right + 10, left - w - 10, w, view_w), beside(top, bottom - h, h, view_h)
