@@ -1,8 +1,8 @@
 """From documents to packed sequences: language, lines, near duplicates, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each as Parquet and reads it for the next.
-All but the last return the columns of documents. No stage has SQL for its whole result, so ORACLE_SQL is None; the tests
-hold every stage against a brute-force version.
+All but the last return the columns of documents. No stage has SQL for its whole result, so ORACLE_SQL is None;
+tests/llm/test_pipeline.py holds every stage against a brute-force version.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the row of the smallest id stays, of equal or null ids that of the least text hash; of rows that repeat id and text, one."""
     key = row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))
-    stay = near_duplicates(docs.select("doc_id", "text")).where((F.col("__id") == F.col("class_id")) & (F.col("__t1") == F.col("class_t1"))).select("__id", "__t1")
+    stay = near_duplicates(docs.select("doc_id", "text")).where((F.col("__id") == F.col("class_id")) & (F.col("__t1") == F.col("class_t1"))).select("__id", "__t1").distinct()
     rows = docs.select(F.struct("*").alias("row"), *key).join(stay, ["__id", "__t1"])
     return rows.dropDuplicates(["__id", "__t1"]).select(*columns_with("row", docs))
 
