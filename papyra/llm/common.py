@@ -15,10 +15,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a temporary folder if
+    the session runs in this process alone (local master, as in tests); on a cluster that raises."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="papyra-")
         context.setCheckpointDir(path)
     return path.rstrip("/")
@@ -65,3 +68,32 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 def small_or_merge(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
     """Broadcasts df if its counted rows are few; otherwise leaves a sort-merge join, whose skewed partitions Spark splits."""
     return F.broadcast(df) if rows <= most else df.hint("merge")
+
+
+def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
+    """Left join with a table that has one row a key, in which no key, however common, meets a single task.
+
+    Keys that more than 1/parts of the left rows have are at most `parts`, so their rows of `right` are broadcast; the other
+    keys are joined by a shuffle. left and right are read three times and twice: give written tables. Null keys match nothing.
+    """
+    total = left.count()
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") * parts > total).select(*keys)
+    common = F.broadcast(counts.dropna().withColumn("__common", F.lit(True)))
+    some = F.lit(True)
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    left = left.join(common, keys, "left")
+    hot = left.where(F.col("__common")).drop("__common").join(F.broadcast(right.join(common, keys).drop("__common")), keys, "left")
+    cold = left.where(F.col("__common").isNull() & some).drop("__common").join(right, keys, "left")
+    none = left.where(~some).drop("__common")
+    for c in right.columns:
+        if c not in keys:
+            none = none.withColumn(c, F.lit(None).cast(right.schema[c].dataType))
+    return hot.unionByName(cold).unionByName(none)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name of a column to add, which must not be taken."""
+    if name in df.columns:
+        raise ValueError(f"column {name} is there already")
+    return name
