@@ -1,8 +1,10 @@
 """WARC archives: a data source that writes gzip members of one record each, and reads them back in splits.
 
-Reading: a task has a byte range of a file. It scans the range for the gzip magic, inflates the head of each candidate
-and takes it for a record only if a WARC version line and header come out; the magic also turns up inside compressed
-bytes. A task owns the records that start inside its range and reads on past its end for the last one.
+Reading: a task has a byte range of a file. It scans the range for the gzip magic, inflates the header of each candidate up
+to its blank line and takes it for a record only if a WARC version line and header come out; the magic also turns up inside
+compressed bytes. A task owns the members that start inside its range, with all records in them, and reads on past its end
+for the last one. Compressed members of another archive that a payload holds are told from its own only by a reader that
+comes from the file's start; read such archives with splits as large as the files.
 
 Writing: each task writes a file of its own under a temporary name; the driver renames the files of the tasks whose
 results count, so a lost executor or a second attempt leaves no half file and no second copy.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from papyra.llm.common import shared_root
+from papyra.llm.common import Scratch, heavy_join, shared_root
 
 MAGIC = b"\x1f\x8b\x08"
 HEAD, STEP, MOST_HEAD = 4096, 1 << 20, 1 << 20
@@ -69,31 +71,93 @@ def parse_head(raw: bytes) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
-def is_member(head: bytes) -> bool:
-    """Whether a gzip member that holds a WARC record begins here: decodes the head alone."""
+class Member:
+    """The decoded bytes of one gzip member, a MB at a time; `read` gives the next compressed bytes, b"" at the end."""
+
+    def __init__(self, first: bytes, read):
+        self.inflate, self.left, self.read = zlib.decompressobj(31), first, read
+        self.held, self.took, self.step = bytearray(), 0, 64  # a little first: the header is read before damage behind it
+
+    def more(self) -> bool:
+        """Decodes some more; whether there was any. Raises zlib.error on damage, EOFError where the file ends too soon."""
+        while not self.inflate.eof:
+            if not self.left:
+                self.left = self.read()
+                if not self.left:
+                    raise EOFError("the archive ends inside a record")
+            given = len(self.left)
+            out = self.inflate.decompress(self.left, self.step)
+            self.step = min(2 * self.step, STEP)
+            self.left = self.inflate.unconsumed_tail
+            self.took += given - len(self.left)
+            if out:
+                self.held += out
+                return True
+        return False
+
+    def head(self) -> tuple[dict[str, str], int] | None:
+        """The next record's fields and header length; None if no record begins here."""
+        while True:
+            if not b"WARC/1.".startswith(bytes(self.held[:7])):
+                return None
+            if (end := self.held.find(b"\r\n\r\n")) >= 0:
+                return parse_head(bytes(self.held[: end + 4]))
+            if len(self.held) > MOST_HEAD or not self.more():
+                return None
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self.more():
+                raise EOFError("a member ends inside a record")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def skip_blank(self) -> bool:
+        """Drops line ends; whether anything follows."""
+        while True:
+            while self.held[:1] in (b"\r", b"\n"):
+                del self.held[:1]
+            if self.held or not self.more():
+                return bool(self.held)
+
+    @property
+    def size(self) -> int:
+        return self.took - len(self.inflate.unused_data)
+
+
+def is_member(head: bytes, read=lambda: b"") -> bool:
+    """Whether a gzip member whose first record has a whole header begins with these bytes; `read` gives those that follow."""
     try:
-        raw = zlib.decompressobj(31).decompress(head, 64)
-    except zlib.error:
+        return Member(head, read).head() is not None
+    except (zlib.error, EOFError):
         return False
-    return raw.startswith(b"WARC/1.") and b"\r\nWARC-" in raw
 
 
-def read_member(file, at: int, first: bytes) -> tuple[bytes, int]:
-    """The bytes of the member at `at`, and where it ends. first: what has been read from there."""
-    inflate, out, took = zlib.decompressobj(31), [], 0
-    chunk = first
-    while True:
-        out.append(inflate.decompress(chunk))
-        took += len(chunk)
-        if inflate.eof:
-            return b"".join(out), at + took - len(inflate.unused_data)
-        if not (chunk := file.read_at(STEP, at + took)):
-            raise ValueError(f"the archive ends inside the record at byte {at}")
+def record(fields: dict[str, str], block: bytes | None) -> tuple:
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
+    uri, refers = fields.get("warc-target-uri"), fields.get("warc-refers-to")
+    return unquote(fields["warc-record-id"].strip("<>")), fields["warc-type"], uri and unquote(uri), refers and unquote(refers.strip("<>")), digest, block
+
 
+def records(file, size: int, start: int, end: int, damaged: str = "raise") -> Iterator[tuple]:
+    """The records of the members that start in [start, end), all of each member.
 
-def records(file, size: int, start: int, end: int) -> Iterator[tuple]:
-    """The records that start in [start, end)."""
+    A candidate counts once its first header is decoded to the blank line. Damage after its version line, or a file that ends before the
+    record does, raises ValueError; with damaged="report" it gives a row of type `damaged` in place of what could not be
+    read, with the fields of the header, and the scan goes on behind the magic.
+    """
     at, window, base = start, b"", start
+
+    def following(place: int):
+        def read() -> bytes:
+            nonlocal place
+            chunk = file.read_at(STEP, place) if place < size else b""
+            place += len(chunk)
+            return chunk
+
+        return read
+
     while at < end:
         if at - base + HEAD > len(window) and base + len(window) < size:
             window, base = file.read_at(STEP + HEAD, at), at
@@ -104,24 +168,31 @@ def records(file, size: int, start: int, end: int) -> Iterator[tuple]:
         at = base + found
         if at >= end:
             return
-        if len(window) - found < HEAD and base + len(window) < size:
-            window, base, found = file.read_at(STEP + HEAD, at), at, 0
-        if not is_member(window[found : found + HEAD]):
-            at += 1
-            continue
+        body = Member(window[found:], following(base + len(window)))
+        fields = {"warc-record-id": "", "warc-type": ""}
         try:
-            raw, after = read_member(file, at, window[found:])
-        except (zlib.error, ValueError):
-            at += 1  # magic and head by chance, or a torn file: the scan goes on
-            continue
-        if (head := parse_head(raw)) is None:
+            head = body.head()
+            if head is None:  # the magic by chance, within compressed bytes
+                at += 1
+                continue
+            while head is not None:
+                fields, length = head
+                body.take(length)
+                block = body.take(int(fields["content-length"]))
+                head = None
+                more = body.skip_blank()
+                yield record(fields, block)
+                if more and (head := body.head()) is None:
+                    raise zlib.error("bytes that are no record follow a record")
+            at += body.size
+        except (zlib.error, EOFError) as e:
+            if not body.held.startswith(b"WARC/1.") and not fields["warc-type"]:
+                at += 1
+                continue
+            if damaged != "report":
+                raise ValueError(f"damaged record in the member at byte {at}: {e}") from e
+            yield (*record(fields, None)[:1], "damaged", *record(fields, None)[2:])
             at += 1
-            continue
-        fields, length = head
-        digest = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
-        refers = fields.get("warc-refers-to")
-        yield unquote(fields["warc-record-id"].strip("<>")), fields["warc-type"], fields.get("warc-target-uri") and unquote(fields["warc-target-uri"]), refers and unquote(refers.strip("<>")), digest, raw[length : length + int(fields["content-length"])]
-        at = after
 
 
 class Range(InputPartition):
@@ -130,8 +201,10 @@ class Range(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, split_bytes: int):
-        self.path, self.split_bytes = path, split_bytes
+    def __init__(self, path: str, split_bytes: int, damaged: str):
+        if damaged not in ("raise", "report"):
+            raise ValueError("damaged is raise or report")
+        self.path, self.split_bytes, self.damaged = path, split_bytes, damaged
 
     def partitions(self) -> list[Range]:
         system, path = file_system(self.path)
@@ -145,9 +218,9 @@ class WarcReader(DataSourceReader):
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], names)
         with file_system(self.path)[0].open_input_file(partition.path) as file:
             rows, held = [], 0
-            for row in records(file, partition.size, partition.start, partition.end):
+            for row in records(file, partition.size, partition.start, partition.end, self.damaged):
                 rows.append(row)
-                held += len(row[-1])
+                held += len(row[-1] or b"")
                 if held > 8 << 20 or len(rows) >= 4096:
                     yield pack(rows)
                     rows, held = [], 0
@@ -190,7 +263,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """format("warc"): load(folder) with option splitBytes (64 MB), or mode("append").save(folder) of rows in SCHEMA."""
+    """format("warc"): load(folder) with options splitBytes (64 MB) and damaged (raise, or report), or mode("append").save(folder) of rows in SCHEMA."""
 
     @classmethod
     def name(cls) -> str:
@@ -200,7 +273,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)))
+        return WarcReader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)), self.options.get("damaged", "raise"))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"])
@@ -235,26 +308,25 @@ def write_archives(rows: DataFrame, path: str, key: str, payload: str, uri: str,
     out.write.format("warc").mode("append").save(path)
 
 
-def read_archives(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
-    """All records below path: rows in SCHEMA."""
+def read_archives(spark: SparkSession, path: str, split_bytes: int = 64 << 20, damaged: str = "raise") -> DataFrame:
+    """All records below path: rows in SCHEMA. What is damaged raises, or with damaged="report" is a row of that type."""
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("splitBytes", str(split_bytes)).load(path)
+    return spark.read.format("warc").option("splitBytes", str(split_bytes)).option("damaged", damaged).load(path)
 
 
 def resolved(records: DataFrame) -> DataFrame:
     """Adds payload_bytes and digest of the full payload: computed from the stored bytes, for revisits from those of the record they name.
 
-    A revisit whose record is not there has null for both.
+    A revisit whose record is not there has null for both. The archives are read once, for a table without payloads; only
+    revisits are joined, those of a record that more than a thousandth of them name by broadcast.
     """
-    records = records.withColumn("own_bytes", F.octet_length("payload").cast("long")).withColumn("own_digest", F.sha2("payload", 256)).drop("payload")
-    full = records.where(F.col("record_type") != "revisit").groupBy(F.col("record_id").alias("rid")).agg(F.first("own_bytes").alias("b"), F.first("own_digest").alias("h"))
-    joined = records.join(full, records["refers_to"] == full["rid"], "left")
-    is_revisit = F.col("record_type") == "revisit"
-    return joined.select(
-        *[F.col(c) for c in ("record_id", "record_type", "target_uri", "refers_to", "payload_digest")],
-        F.when(is_revisit, F.col("b")).otherwise(F.col("own_bytes")).alias("payload_bytes"),
-        F.when(is_revisit, F.col("h")).otherwise(F.col("own_digest")).alias("digest"),
-    )
+    scratch = Scratch(records.sparkSession, "warc-records")
+    heads = ["record_id", "record_type", "target_uri", "refers_to", "payload_digest"]
+    rows = scratch.write(records.select(*heads, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("digest")), "records")
+    revisit = F.col("record_type") == "revisit"
+    named = rows.where(~revisit).groupBy(F.col("record_id").alias("refers_to")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("digest").alias("digest"))
+    joined = heavy_join(rows.where(revisit).select(*heads), named, ["refers_to"])
+    return rows.where(~revisit).unionByName(joined.select(*rows.columns))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
