@@ -3,33 +3,45 @@
 Other speakers are users with their names; system turns stay system turns and are no one's view. The mask gives the
 spans of code points, [start, end), that the model learns: the assistant's turns with their end marks.
 
-All work is on DataFrame functions: turns are sorted within one part of a conversation, of `part_turns` turn numbers, so
-no array grows with a conversation; a longer one has several parts, each rendered on its own.
+All work is on DataFrame functions, and conversations are rendered whole. A conversation that no row can hold must be
+split, and that is the caller's word: part_turns cuts it by turn number, and each part begins with the system turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The marks of the template. OPEN within a text is written with a space, so that no text can open a turn.
+#: The marks of the template. SAFE within a text or a role is written with a space and line ends in a role are
+#: spaces, so that neither can open or end a turn.
 OPEN, CLOSE, SAFE = "<|im_start|>", "<|im_end|>\n", "<|im_"
 SYSTEM, UNNAMED = "system", "unknown"
 
 
-def perspectives(turns: DataFrame, part_turns: int = 256) -> DataFrame:
-    """Rows (conv_id, perspective, part, n_turns, rendered, mask), one for each speaker of a conversation and part of it.
+def unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(SAFE), F.lit("< |im_"))
+
+
+def perspectives(turns: DataFrame, part_turns: int | None = None) -> DataFrame:
+    """Rows (conv_id, perspective, part, n_turns, rendered, mask), one for each speaker of a conversation, and part of it.
 
     Turns go by number, then role, then text; a null number is 0, a null role is `unknown`, a null text is empty. Null
     conv_ids are one conversation. Rows that repeat are turns of their own. A conversation of system turns alone has no
-    speaker and no row; a speaker silent in a part has a row there with an empty mask. Columns may have any names.
+    speaker and no row. Without part_turns there is one part, 0. With it, part p has the turns whose number is in
+    [p * part_turns, (p + 1) * part_turns), after the system turns of earlier parts; a speaker silent in a part has a row
+    there with an empty mask. Other columns are not read, whatever their names; an empty table gives no rows.
     """
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(0).cast("long"))
+    role = F.translate(unmarked(F.coalesce("role", F.lit(UNNAMED))), "\r\n", "  ")
     rows = turns.select(
-        F.col("conv_id").alias("conv_id"), F.floor(turn / part_turns).cast("long").alias("part"), turn.alias("turn"),
-        F.coalesce("role", F.lit(UNNAMED)).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit(SAFE), F.lit("< |im_")).alias("text"),
-    )
+        F.col("conv_id").alias("conv_id"), turn.alias("turn"), role.alias("role"), unmarked(F.coalesce("text", F.lit(""))).alias("text"),
+        (F.floor(turn / part_turns) if part_turns else F.lit(0)).cast("long").alias("part"),
+    )
     speakers = rows.where(F.col("role") != SYSTEM).select("conv_id", "role").distinct().withColumnRenamed("conv_id", "__c")
+    if part_turns:
+        system = rows.where(F.col("role") == SYSTEM).withColumnRenamed("part", "__from").withColumnRenamed("conv_id", "__c")
+        later = rows.select("conv_id", "part").distinct().join(system, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__from") < F.col("part")))
+        rows = rows.unionByName(later.select("conv_id", "turn", "role", "text", "part"))
     parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     each = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("__c"))).select("conv_id", F.col("role").alias("perspective"), "part", "turns")
 
@@ -65,7 +77,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH t AS (
-  SELECT conv_id, floor(coalesce(turn, 0) / 256)::BIGINT AS part, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role,
+  SELECT conv_id, 0::BIGINT AS part, coalesce(turn, 0) AS turn, translate(replace(coalesce(role, 'unknown'), '<|im_', '< |im_'), chr(13) || chr(10), '  ') AS role,
          replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS body FROM conversations
 ), s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 r AS (
