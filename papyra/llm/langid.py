@@ -5,9 +5,11 @@ mask with a bit for each language, so the AND of an n-gram's few slots gives at
 For a text, the bits are counted for each language, and each count is corrected for the filter's measured rate of
 false positives; the largest corrected share of the text's n-grams decides.
 
-Learning reads a sample of about `sample_docs` labelled texts a language (all, where there are fewer), of at most
-`most_langs` languages, chosen by a hash; it keeps at most `grams` n-grams a language. Table size is fixed.
-Prediction is one map-only pass over whole texts.
+Learning reads a sample of about `sample_docs` labelled texts a language (all, where there are fewer), chosen by a hash; it
+keeps at most `grams` n-grams a language, and 2**20 in all: beyond 52 languages each has fewer. Filters have a slot of 1 bit
+for each language in each of 2**20 places, in words of 64 languages, however many languages there are.
+Prediction is one map-only pass over whole texts. Texts beyond PIECE characters are read in pieces that end between words;
+within a longer word pieces overlap, so that each n-gram counts once (at such a cut one of three letters counts twice).
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papyra.llm.common import free_name
+
 UNKNOWN = "und"
 SIZES = (3, 4)
-PIECE = 1 << 17
+PIECE, OVERLAP = 1 << 17, max(SIZES) - 1
 _letters: np.ndarray | None = None
 
 
@@ -35,27 +39,33 @@ def is_letter() -> np.ndarray:
     return _letters
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Index and text in groups of at most about PIECE characters; longer texts are cut, at a space if there is one."""
-    index, group, held = [], [], 0
+def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[bool]]]:
+    """Index and text in groups of at most about PIECE characters, and whether a text goes on within a word. Longer texts are cut."""
+    index, group, cut, held = [], [], [], 0
     for i, text in enumerate(texts):
-        start = 0
+        start, inside = 0, False
         while start < len(text):
             end = start + PIECE
+            space = 0
             if end < len(text):
-                end = max(text.rfind(" ", start + 1, end), text.rfind("\n", start + 1, end)) + 1 or end
+                space = max(text.rfind(" ", start + 1, end), text.rfind("\n", start + 1, end)) + 1
+                end = space or end
+            goes_on = end < len(text) and not space
+            if inside and not group:  # the word has begun in the group before
+                index, group, cut = [i], [""], [True]
             index.append(i)
-            group.append(text[start:end].lower())
+            group.append(text[start : end + OVERLAP if goes_on else end].lower())
+            cut.append(goes_on)
             held += len(group[-1])
-            start = end
+            start, inside = end, goes_on
             if held >= PIECE:
-                yield index, group
-                index, group, held = [], [], 0
+                yield index, group, cut
+                index, group, cut, held = [], [], [], 0
     if group:
-        yield index, group
+        yield index, group, cut
 
 
-def grams(group: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(group: list[str], cut: list[bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size, hashes of the n-grams of words (with their bounds) and the place in group of the text they are in."""
     joined = ("\n" + "\n".join(group) + "\n").encode("utf-32-le", "replace")
     codes = np.frombuffer(joined, dtype=np.uint32)
@@ -64,9 +74,12 @@ def grams(group: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     stay = letter.copy()
     stay[1:] |= letter[:-1]  # one bound after each word
     stay[0] = True
+    broken = np.zeros(len(codes), dtype=bool)
+    broken[ends[np.asarray(cut, dtype=bool)]] = True  # no bound: the word goes on
+    stay |= broken
     at = np.flatnonzero(stay)
     c = np.where(letter[at], codes[at], 0).astype(np.uint64)
-    inside = c != 0
+    inside, whole = c != 0, ~broken[at]
     doc = np.searchsorted(ends, at - 1, side="right").astype(np.int32)
     for n in SIZES:
         if len(c) < n:
@@ -75,6 +88,7 @@ def grams(group: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ok = np.ones(len(h), dtype=bool)
         for k in range(n):
             h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(h)]
+            ok &= whole[k : k + len(h)]
             if 0 < k < n - 1:
                 ok &= inside[k : k + len(h)]
         h = h[ok]
@@ -117,9 +131,9 @@ class Filters:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         found = np.zeros((len(self.langs), len(texts)))
         total, lettered = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-        for index, group in pieces([t or "" for t in texts]):
+        for index, group, cut in pieces([t or "" for t in texts]):
             place = np.asarray(index)
-            for keys, doc in grams(group):
+            for keys, doc in grams(group, cut):
                 doc = place[doc]
                 total += np.bincount(doc, minlength=len(texts))
                 for b, masks in enumerate(self.masks(keys)):
@@ -142,20 +156,21 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [t or "" for t, x in zip(texts, langs, strict=True) if x == lang]
-            for _, group in pieces(own):
-                for keys, _doc in grams(group):
+            for _, group, cut in pieces(own):
+                for keys, _doc in grams(group, cut):
                     k, n = np.unique(keys.view(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame, sample_docs: int = 1500, grams: int = 20_000, most_langs: int = 256, least_part: float = 0.05, seed: int = 5) -> Filters:
+def fit(labelled: DataFrame, sample_docs: int = 1500, grams: int = 20_000, least_part: float = 0.05, seed: int = 5) -> Filters:
     """Learns from rows (doc_id, text, lang). Languages are ordered by number of rows, then name; ties go to the first.
 
     A language contains an n-gram if its share of the language's n-grams is at least least_part of its share in the
-    language where that is largest: quotations and mislabelled texts don't count.
+    language where that is largest: quotations and mislabelled texts don't count. The values of lang, a code each, come to
+    the driver, with at most `grams` n-grams each and 2**20 in all, but at least one each.
     """
     labelled = labelled.where(F.col("lang").isNotNull())
-    langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not langs:
         return Filters([], [])
     part = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
@@ -166,7 +181,7 @@ def fit(labelled: DataFrame, sample_docs: int = 1500, grams: int = 20_000, most_
     by_gram = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n", "part")).alias("in"))  # a row for each language at most
     largest = F.array_max(F.transform("in", lambda x: x["part"]))
     counted = by_gram.select("gram", F.explode(F.filter("in", lambda x: x["part"] >= least_part * largest)).alias("x")).select("gram", "x.lang", "x.n")
-    most = min(grams, (1 << 20) // len(langs))
+    most = max(1, min(grams, (1 << 20) // len(langs)))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
     members = {r["lang"]: np.array(r["grams"], dtype=np.int64).view(np.uint64) for r in top.collect()}
@@ -198,9 +213,10 @@ def identify(docs: DataFrame, into: str = "language") -> DataFrame:
 
     Texts alone decide: equal texts, equal values. Null texts and texts without letters are `und`, with score 0; without
     labelled rows all texts are. A text none of whose n-grams are known gets the most frequent language, score 0.
-    Rows and columns of docs all stay; `into` must be a free name.
+    Rows and columns of docs all stay, repeats included; a taken name `into` raises. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    free_name(docs, into)
     filters = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     sent = spark.sparkContext.broadcast(filters)
     schema = T.StructType([*docs.schema, T.StructField("__guess", T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))])
