@@ -1,19 +1,22 @@
 """URL filters: host and path rules first, then a weighted vocabulary that one Aho-Corasick pass counts.
 
 A term counts where no letter or digit stands before or after it. One strict term rejects a URL; soft terms reject it
-when at least `soft_least` different ones appear and their weights reach `soft_weight`. The automaton is built once in
-each Python worker; the pass is map-only, without any shuffle.
+when at least `soft_least` different ones appear and their weights reach `soft_weight`. Terms are sought in the URL as it is
+read: percent escapes decoded as UTF-8, labels of the host out of Punycode, and lower-cased. The automaton is built once in
+each Python worker; the pass is map-only, without any shuffle. The built-in vocabulary is a small start;
+UrlFilter.from_table() takes one of any size from a table (term, weight, strict).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import LOWER, UPPER
+from papyra.llm.common import LOWER, UPPER, free_name
 
 #: One of these terms rejects a URL.
 STRICT = ["porn", "porno", "xxx", "hentai", "milf", "camgirl", "sexcam", "escorts", "casino", "jackpot", "viagra", "cialis", "warez", "keygen", "torrentz", "malware"]
@@ -40,6 +43,29 @@ def parts(url: str | None) -> tuple[str, str]:
     return host, path[:end]
 
 
+def label(text: str) -> str:
+    """A label of a host; out of Punycode if it is that and can be read."""
+    if text.startswith("xn--"):
+        try:
+            return text[4:].encode("ascii").decode("punycode")
+        except (UnicodeError, ValueError):
+            return text
+    return text
+
+
+def shown(url: str | None) -> str:
+    """The URL as words are sought in it. Escapes that are no UTF-8 give replacement characters, which bound words."""
+    text = url or ""
+    if "%" in text:
+        text = unquote(text, errors="replace")
+    text = text.lower()
+    if "xn--" in text:
+        scheme, mark, rest = text.partition("://")
+        end = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+        text = scheme + mark + ".".join(map(label, rest[:end].split("."))) + rest[end:]
+    return text
+
+
 @dataclass
 class UrlFilter:
     rules: dict = field(default_factory=lambda: dict(RULES))
@@ -50,7 +76,22 @@ class UrlFilter:
     _automaton = None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_automaton"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_automaton", "_by_host")}
+
+    @classmethod
+    def from_table(cls, terms: DataFrame, most: int = 5_000_000, **options) -> UrlFilter:
+        """A filter by rows (term, weight, strict); more than `most` terms raise, as each Python worker holds all.
+
+        Terms are lower-cased and stripped; null and empty ones go. A term that repeats is strict if any row says so, and
+        has the largest of its weights; a null weight is 1.
+        """
+        term = F.lower(F.trim("term"))
+        rows = terms.select(term.alias("term"), F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"), F.coalesce("strict", F.lit(False)).alias("strict"))
+        rows = rows.where(F.coalesce("term", F.lit("")) != "").groupBy("term").agg(F.max("weight").alias("weight"), F.max("strict").alias("strict"))
+        found = rows.limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} terms")
+        return cls(strict=sorted(r.term for r in found if r.strict), soft={r.term: r.weight for r in found if not r.strict}, **options)
 
     def rule(self, host: str, path: str) -> tuple[str | None, str | None]:
         """The longest rule that fits, as text, and its verdict. Looks up the host's suffixes, however many rules there are."""
@@ -70,12 +111,12 @@ class UrlFilter:
 
     def hits(self, url: str | None) -> tuple[int, int, float]:
         """Strict hits, different soft terms and their weight."""
-        text = (url or "").translate(TO_LOWER)
+        text = shown(url)
         if self._automaton is None:
             import ahocorasick
 
             self._automaton = ahocorasick.Automaton()
-            for term in {*self.strict, *self.soft}:
+            for term in {*self.strict, *self.soft} - {""}:
                 self._automaton.add_word(term, term)
             self._automaton.make_automaton()
         strict, soft, ban = 0, set(), set(self.strict)
@@ -103,8 +144,10 @@ def judge_urls(df: DataFrame, url: Column, by: UrlFilter | None = None, into: st
     """Adds struct column `into`: host, path, rule, verdict (allow or block), strict_hits, soft_terms, soft_weight.
 
     A null URL or one without `://` has empty host and path, fits no rule and is judged by its words (null: allow).
-    All rows and columns stay; `into` must be a free name. Long URLs take time in proportion. Equal URLs, equal values.
+    All rows and columns stay, repeats included; a taken name `into` raises. Long URLs take time in proportion. Equal URLs,
+    equal values. An empty table gives an empty one.
     """
+    free_name(df, into)
     by = by or UrlFilter()
     names = ["host", "path", "rule", "verdict", "strict_hits", "soft_terms", "soft_weight"]
 
