@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import Scratch, row_key, set_up_shared
+from papyra.llm.common import Scratch, heavy_join, row_key, set_up_shared
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -202,13 +203,18 @@ def tile_links(sent, least: float):
         level = np.concatenate([np.concatenate([np.arange(int(c)) for c in s[1]]) if len(s[0]) else np.zeros(0) for s in sets])
         weight = np.concatenate([np.repeat(s[2], s[1].astype(np.int64)) for s in sets])
         row = np.repeat(np.arange(len(sets)), [int(s[1].sum()) for s in sets])
-        _, column = np.unique(mixed(keys + mixed(level.astype(np.uint64))), return_inverse=True)
+        _, column, times = np.unique(mixed(keys + mixed(level.astype(np.uint64))), return_inverse=True, return_counts=True)
+        shared = times[column] > 1  # a column of one text adds to no pair
+        order = np.flatnonzero(shared)[np.argsort(column[shared], kind="stable")]
+        slot = np.cumsum(np.concatenate([[False], column[order][1:] != column[order][:-1]]))
+        root_of = np.sqrt(weight[order])
         common = np.zeros((len(sets), len(sets)))
-        for at in range(0, int(column.max(initial=-1)) + 1, 4096):
-            part = (column >= at) & (column < at + 4096)
+        bounds = np.searchsorted(slot, np.arange(0, (int(slot[-1]) if len(slot) else -1) + 4097, 4096))
+        for at, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             dense = np.zeros((len(sets), 4096), dtype=np.float64)
-            dense[row[part], column[part] - at] = np.sqrt(weight[part])
+            dense[row[order[lo:hi]], slot[lo:hi] - 4096 * at] = root_of[lo:hi]
             common += dense @ dense.T
+        common[np.diag_indices(len(sets))] = sizes
         sim = common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1e-300)
         for i, j in zip(*np.nonzero(np.triu(sim >= least - 1e-9, 1)), strict=True):
             a, b = root(labels[i]), root(labels[j])
@@ -238,14 +244,14 @@ def tile_links(sent, least: float):
     return run
 
 
-def components(links: DataFrame, scratch: Scratch, name: str, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Rows (node, label): the least node that links reach. Every round takes the least label of neighbours, then that label's
-    label, so chains halve; each round is written to the shared folder."""
+    label, so chains halve; rounds go on until no label changes, and each is written to the shared folder."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
     both = scratch.write(both, f"{name}-edges")
     labels = both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("label"))
     labels = scratch.write(labels, f"{name}-0")
-    for turn in range(1, most_rounds):
+    for turn in count(1):
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         new = labels.join(near, "node").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
@@ -254,18 +260,19 @@ def components(links: DataFrame, scratch: Scratch, name: str, most_rounds: int =
         changed = new.where(F.col("label") != F.col("old")).limit(1).count()
         labels = new.select("node", "label")
         if not changed:
-            break
+            return labels
         if turn > 1:
             scratch.drop(f"{name}-{turn - 2}")
-    return labels
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, samples: int = 24, band_rows: int = 3, tile: int = 192) -> DataFrame:
-    """Classes of near-duplicate rows: (__id, __t1, class_id, class_t1), a row for each distinct (id, text).
+    """Classes of near-duplicate rows: (__id, __t1, class_id, class_t1), a row for each row of docs, repeats included.
 
-    class_id and class_t1 are the smallest (__id, __t1) of the class, which tell it from others where ids are null or repeat. Null texts and texts without words are each a class of its own, copies
-    included. A null id counts as the least long. Rows that repeat an id and text are one. Columns may have any names;
-    doc_id and text alone are read. An empty table gives no rows.
+    class_id and class_t1 are the smallest (__id, __t1) of the class, which tell it from others where ids are null or
+    repeat. Null texts and texts without words are in the class of the rows that have their id and text, empty text for
+    null. A null id counts as the least long. Columns may have any names; doc_id and text alone are read. An empty table
+    gives no rows. A pair of similarity s shares no band with probability (1 - s**band_rows)**(samples / band_rows), 0.0032
+    at 0.8 and 0.0000014 at 0.9, and is then linked only through third texts.
     """
     spark = docs.sparkSession
     set_up_shared(spark)
@@ -274,12 +281,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, samples: int = 24, band
     sent = spark.sparkContext.broadcast(idf_table(docs))
     sets = docs.mapInArrow(sampled(sent, samples, band_rows), "__id long, __t1 long, set binary, bands array<long>")
     sets = scratch.write(sets, "sets")
-    # a node is a weighted set, named by the row that holds it first; its hash names it in links
+    # a node is a weighted set, named by the row that holds it first
     own = F.struct("__id", "__t1")
     nodes = sets.where(F.col("set").isNotNull()).groupBy("set").agg(F.min(own).alias("own"), F.min_by("bands", own).alias("bands"))
-    nodes = scratch.write(nodes.select(F.xxhash64("set").alias("node"), "set", "own.*", "bands"), "nodes")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    drawn = F.struct(F.xxhash64(F.lit(3), "node").alias("h"), "node")
+    # numbered as they are written, so that two sets are never one node; their hash draws centres
+    nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "own.*", "bands"), "nodes")
+    rows = nodes.select("node", F.xxhash64(F.lit(3), "set").alias("h"), F.posexplode("bands").alias("band", "key"))
+    drawn = F.struct("h", "node")
     full = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(drawn).alias("c1"), F.max(drawn).alias("c2")).where(F.col("n") > 1)
     members = rows.join(full, ["band", "key"]).select("band", "key", "n", "node", F.array("c1.node", "c2.node").alias("centres"))
     members = scratch.write(members, "members")
@@ -325,9 +333,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, samples: int = 24, band
     joined = nodes.select("node", "set", "__id", "__t1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_id = joined.groupBy("label").agg(F.min(F.struct("__id", "__t1")).alias("least"))
     named = joined.join(least_id, "label").select("set", F.col("least.__id").alias("class_id"), F.col("least.__t1").alias("class_t1"))
-    # the rows of a set: a third of all rows may share one, and Spark splits that partition
-    out = sets.join(named, "set", "left").select("__id", "__t1", F.coalesce("class_id", "__id").alias("class_id"), F.coalesce("class_t1", "__t1").alias("class_t1"))
-    return out
+    named = scratch.write(named, "named")
+    out = heavy_join(sets.select("__id", "__t1", "set"), named, ["set"])  # a third of all rows may share a set
+    return out.select("__id", "__t1", F.coalesce("class_id", "__id").alias("class_id"), F.coalesce("class_t1", "__t1").alias("class_t1"))
 
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
