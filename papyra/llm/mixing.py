@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from papyra.llm.common import row_key, set_up_shared, small_or_merge
+from papyra.llm.common import Scratch, row_key, set_up_shared, small_or_merge
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -83,24 +83,30 @@ def mix_sources(
     words of both. keep_rows=False leaves out row, the struct of all input columns. Null text has no words; null source
     is a source, the last. Rows that repeat count each. Sources without words have target 0. Reruns agree, however the
     input is partitioned, as order and starts come from hashes of the seed, ids and texts. Where rows agree in id and text,
-    which of them takes more words is free.
+    which of them takes more words is free. A shard whose quota is above most_repeats times its blocks gives up what is
+    above: a quota is at most its part of the source's target, rounded, so that is one block a shard, of the last words.
+    Texts are counted once, for a table without texts; with keep_rows, once more for the rows that come out.
     """
     set_up_shared(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "mixing")
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select(
-        *([F.struct("*").alias("row")] if keep_rows else []),
-        F.col("doc_id"), F.col("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *row_key(F.col("doc_id"), text),
-    )
-    sources = source_targets(sized.select("source", "size"), weights, share, most_repeats).checkpoint()
+    own = [F.col("doc_id"), F.col("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *row_key(F.col("doc_id"), text)]
+    counted = scratch.write(docs.select(*own), "sizes")
+    sized = docs.select(F.struct("*").alias("row"), *own) if keep_rows else counted
+    sources = source_targets(counted.select("source", "size"), weights, share, most_repeats).checkpoint()
     n_sources = sources.count()
     seats = F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")
     quotas = sainte_lague(sources.withColumn("seats", seats), [], "target", "seats", ["rank"], "quota").drop("seats")
     quotas = quotas.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")).checkpoint()
     shard = F.pmod(F.xxhash64(F.lit(seed), "__id", "__t1"), F.col("shards"))
-    placed = sized.alias("d").join(
-        small_or_merge(quotas.alias("s"), n_sources), F.col("d.source").eqNullSafe(F.col("s.source"))
-    ).select("d.*", "s.rank", "s.source_size", "s.target", "s.quota", shard.alias("shard"))
-    dealt = placed.groupBy("rank", "shard", "quota").agg(F.sum("size").alias("shard_size"))
+
+
+    def place(rows: DataFrame) -> DataFrame:
+        joined = rows.alias("d").join(small_or_merge(quotas.alias("s"), n_sources), F.col("d.source").eqNullSafe(F.col("s.source")))
+        return joined.select("d.*", "s.rank", "s.source_size", "s.target", "s.quota", shard.alias("shard"))
+
+    placed = place(sized)
+    dealt = place(counted).groupBy("rank", "shard", "quota").agg(F.sum("size").alias("shard_size"))
     dealt = sainte_lague(dealt, ["rank"], "shard_size", "quota", ["shard"], "seats")
     blocks = F.ceil(F.col("shard_size") / block).cast("long")
     dealt = dealt.select(
