@@ -1,9 +1,10 @@
 """Media columns: interleaved sequences of text and media, with payloads kept by digest.
 
-parse_html() turns a page into ordered items: a text, or a reference to media with its caption. Payloads live once in a
-media table, under the digest of what they hold; resolve() joins references with it by digest, so captions and positions
-stay with their reference and no payload is copied into pages. Only digests, captions and small columns are shuffled;
-payloads are written once and read where they lie. Split partitions carry a payload that very many pages use.
+parse_html() turns a page into ordered items: a text, or a reference to media with its caption. A media table has a row for
+each digest of what it holds; resolve() joins references with it by digest, so captions and positions stay with their
+reference and no payload is copied into pages. Payloads are written where they are made, and each task encodes, writes and
+decodes a payload once, however many of its rows have it; only digests, captions and small columns are shuffled. A payload
+that very many pages use is joined by broadcast of its few small columns.
 
 8-bit samples are stored as PNG: rows of 64 RGB pixels, 192 samples each, lossless.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,23 +23,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import Scratch, row_key
+from papyra.llm.common import Scratch, free_name, heavy_join, row_key
 
 ROW = 192
 PNG = b"\x89PNG\r\n\x1a\n"
-#: Elements whose text is not shown, that end a run of text, and that stand for media.
-HIDDEN = {"script", "style", "template", "noscript", "head"}
+#: Elements whose text is not shown, that end a run of text, that a head or a caption may hold, and that stand for media.
+HIDDEN = {"script", "style", "template", "noscript", "head", "title"}
 BLOCK = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "table", "tr", "td", "th", "pre", "blockquote", "nav", "footer", "header", "main", "aside", "hr", "body", "html"}
+IN_HEAD = {"title", "meta", "link", "base", "script", "style", "template", "noscript"}
+IN_CAPTION = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "tr", "td", "th", "hr"}
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed"}
 ITEMS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
 
 
 class _Items(HTMLParser):
+    """Collects items. A hidden element ends with its own end tag, a head also with what no head may hold, and a caption with
+    its figure or with a block, so that an end tag that HTML lets one leave out hides nothing of the page."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
-        self.hidden, self.figures, self.caption = 0, [], None
+        self.hidden: list[str] = []
+        self.figures: list[dict] = []  # open figures: the first of their items, and their caption
+        self.caption: list[str] | None = None
 
     def _end_run(self) -> None:
         text = " ".join("".join(self.run).split())
@@ -46,16 +54,40 @@ class _Items(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def _end_caption(self) -> None:
+        text = " ".join("".join(self.caption or []).split())
+        self.caption = None
+        if self.figures and text:
+            self.figures[-1]["caption"] = text
+        elif text:  # a caption of no figure is text
+            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+
+    def _end_figure(self) -> None:
+        if self.caption is not None:
+            self._end_caption()
+        figure = self.figures.pop()
+        for item in self.items[figure["first"] :]:
+            if item["kind"] != "text" and not item.get("own"):
+                item["own"] = True  # the innermost figure's caption holds
+                item["caption"] = figure["caption"] or item["caption"]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden and self.hidden[-1] == "head" and tag not in IN_HEAD:
+            self.hidden.pop()
         if tag in HIDDEN:
-            self.hidden += 1
+            self.hidden.append(tag)
+            return
+        if self.hidden:
+            return
+        if self.caption is not None and (tag in BLOCK - {"br"} or tag == "figcaption") and tag not in IN_CAPTION:
+            self._end_caption()
         if tag in BLOCK or tag == "figcaption":
             self._end_run()
         if tag == "figure":
-            self.figures.append(len(self.items))
+            self.figures.append({"first": len(self.items), "caption": None})
         elif tag == "figcaption":
             self.caption = []
-        elif tag in MEDIA and not self.hidden:
+        elif tag in MEDIA:
             attrs = dict(attrs)
             if attrs.get("src"):
                 self._end_run()
@@ -66,37 +98,47 @@ class _Items(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+            return
         if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if item["kind"] != "text":
-                    item["caption"] = text or item["caption"]
-            self.caption = None
+            self._end_caption()
         elif tag in BLOCK:
             self._end_run()
         if tag == "figure" and self.figures:
-            self.figures.pop()
+            self._end_figure()
 
     def handle_data(self, data: str) -> None:
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.hidden:
-            self.run.append(data)
+        if self.hidden and self.hidden[-1] == "head" and data.strip():
+            self.hidden.pop()
+        if self.hidden:
+            return
+        (self.run if self.caption is None else self.caption).append(data)
+
+    def end(self) -> list[dict]:
+        self._end_run()
+        if self.caption is not None and not self.figures:
+            self._end_caption()
+        while self.figures:
+            self._end_figure()
+        return [{"position": i, **{k: item[k] for k in ("kind", "text", "ref", "caption")}} for i, item in enumerate(self.items)]
 
 
 def parse_html(html: str | None) -> list[dict]:
-    """Ordered items of a page. A caption is the figcaption that follows in the same figure, else the alt text. Null: none."""
+    """Ordered items of a page. A caption is the figcaption of the innermost figure around it, before or behind, else the alt text.
+
+    End tags may be missing and stray ones do nothing; script, style, template, noscript, title and head are not shown. Null: none.
+    """
     parser = _Items()
     parser.feed(html or "")
     parser.close()
-    parser._end_run()
-    return [{"position": i, **item} for i, item in enumerate(parser.items)]
+    return parser.end()
 
 
 def interleave(pages: DataFrame, html: Column, into: str = "items") -> DataFrame:
-    """Adds the array of items of each page as column `into`, a free name. Unclosed and stray tags are taken as they come."""
+    """Adds the array of items of each page as column `into`; a taken name raises. Rows, repeats and other columns stay."""
+    free_name(pages, into)
 
     @F.pandas_udf(ITEMS)
     def items(texts: pd.Series) -> pd.Series:
@@ -106,8 +148,13 @@ def interleave(pages: DataFrame, html: Column, into: str = "items") -> DataFrame
 
 
 def resolve(references: DataFrame, media: DataFrame, digest: str = "digest") -> DataFrame:
-    """Left join by digest with a media table that has a row for each digest; references without payload keep nulls."""
-    return references.join(media, digest, "left")
+    """Left join by digest with a media table that has a row for each digest; references without payload keep nulls.
+
+    A column that both have, but for the digest, raises. Give written tables: both are read more than once.
+    """
+    if both := {*references.columns} & {*media.columns} - {digest}:
+        raise ValueError(f"columns of both tables: {sorted(both)}")
+    return heavy_join(references, media, [digest])
 
 
 def to_png(samples: bytes) -> bytes:
@@ -162,20 +209,36 @@ def feature(samples: np.ndarray) -> str:
     return f"{pixels.shape[1]}x{pixels.shape[0]};rgb={means[0]:.3f},{means[1]:.3f},{means[2]:.3f};hash={int(bits, 2):016x}"
 
 
+class Seen(set):
+    """The last digests that a task has met, MOST at most."""
+
+    MOST = 1 << 16
+
+    def new(self, digest: str) -> bool:
+        if digest in self:
+            return False
+        if len(self) >= self.MOST:
+            self.clear()
+        self.add(digest)
+        return True
+
+
 def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, __id, __t1, text) to (.., n_bytes, digest, media), a few MB at a time."""
+    """Rows (doc_id, __id, __t1, text) to (.., n_bytes, digest, media), a few MB at a time; media is null where the task has stored it."""
     names = ["doc_id", "__id", "__t1", "n_bytes", "digest", "media"]
 
     def out(batch, lo, rows):
         part = batch.slice(lo, len(rows))
         return pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True))], names)
 
+    seen = Seen()
     for batch in batches:
         lo, rows, held = 0, [], 0
         for text in batch.column(3):
             n, payload = padded(text.as_py())
-            rows.append((n, hashlib.sha256(payload).hexdigest(), to_png(payload)))
-            held += len(rows[-1][2])
+            digest = hashlib.sha256(payload).hexdigest()
+            rows.append((n, digest, to_png(payload) if seen.new(digest) else None))
+            held += len(rows[-1][2] or b"")
             if held > 4 << 20:
                 yield out(batch, lo, rows)
                 lo, rows, held = lo + len(rows), [], 0
@@ -187,10 +250,13 @@ MEDIA_ROWS = "digest string, payload_bytes long, payload_sha256 string, tail_crc
 
 
 def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, media) to MEDIA_ROWS, all from the stored bytes."""
+    """Rows (digest, media) to MEDIA_ROWS, all from the stored bytes; a digest that the task has met gives no second row."""
+    seen = Seen()
     for batch in batches:
         rows = []
         for digest, media in zip(batch.column(0), batch.column(1), strict=True):
+            if not seen.new(digest.as_py()):
+                continue
             data = media.as_py()
             samples = from_png(data)
             payload = samples.tobytes()
@@ -214,10 +280,10 @@ def media_of_documents(docs: DataFrame) -> DataFrame:
     pages = interleave(media.select("doc_id", "n_bytes", page.alias("html")), F.col("html"))
     shown = pages.select("doc_id", "n_bytes", F.explode("items").alias("item")).where(F.col("item.kind") == "image")
     shown = shown.select("doc_id", "n_bytes", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.regexp_replace("item.ref", "^sha256:", "").alias("digest"))
-    values = media.select("digest", "media").mapInArrow(described, MEDIA_ROWS)
-    first: Callable[[str], Column] = lambda c: F.first(c).alias(c)
-    values = values.groupBy("digest").agg(*[first(f.split()[0]) for f in MEDIA_ROWS.split(", ")[1:]])
-    return resolve(shown, values).drop("digest")
+    shown = scratch.write(shown, "references")
+    values = media.where(F.col("media").isNotNull()).select("digest", "media").mapInArrow(described, MEDIA_ROWS)
+    values = values.groupBy("digest").agg(*[F.first(c).alias(c) for c in (f.split()[0] for f in MEDIA_ROWS.split(", ")[1:])])
+    return resolve(shown, scratch.write(values, "values")).drop("digest")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
