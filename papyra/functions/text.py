@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,27 +27,45 @@ SNIPPET = 30
 BREAKS = "array<struct<at:int,delta:int>>"
 
 
+class _Mapped(dict):
+    """What a character becomes; kept for those met."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = QUOTES.get(c) or unicodedata.normalize("NFKC", c)
+        return self[c]
+
+
+_mapped = _Mapped()
+_run = re.compile(f"([^{WHITE}]+)([{WHITE}]*)")
+
+
 def normalize(raw: str) -> tuple[str, list[tuple[int, int]]]:
-    """Normalised text and its offset map."""
+    """Normalised text and its offset map, run by run of characters between white space."""
     out: list[str] = []
     breaks: list[tuple[int, int]] = []
-
-    def push(chars: str, index: int) -> None:
-        for c in chars:
-            delta = index - len(out)
-            if not breaks or breaks[-1][1] != delta:
-                breaks.append((len(out), delta))
-            out.append(c)
-
-    in_space = True  # a leading run leaves nothing
-    for i, c in enumerate(raw):
-        if _white.match(c):
-            if not in_space:
-                push(" ", i)
-            in_space = True
-            continue
-        in_space = False
-        push(QUOTES.get(c) or unicodedata.normalize("NFKC", c), i)
+    at = 0
+
+    def mark(index: int, delta: int) -> None:
+        if not breaks or breaks[-1][1] != delta:
+            breaks.append((index, delta))
+
+    for run in _run.finditer(raw):
+        new = [_mapped[c] for c in run[1]]
+        text = "".join(new)
+        if len(text) == len(new):
+            mark(at, run.start() - at)
+        else:  # characters of several lie further left with each
+            place = at
+            for i, chars in enumerate(new, run.start()):
+                for _ in chars:
+                    mark(place, i - place)
+                    place += 1
+        out.append(text)
+        at += len(text)
+        if run[2]:
+            mark(at, run.end(1) - at)
+            out.append(" ")
+            at += 1
     return "".join(out), breaks
 
 
@@ -62,12 +81,8 @@ def prepare_query(query: str, case_sensitive: bool = False) -> str:
 
 def raw_index(breaks: list[tuple[int, int]], index: int) -> int:
     """Where a normalised index lies in the raw text."""
-    delta = 0
-    for at, d in breaks:
-        if at > index:
-            break
-        delta = d
-    return max(0, index + delta)
+    found = bisect_right(breaks, index, key=lambda b: b[0])
+    return max(0, index + (breaks[found - 1][1] if found else 0))
 
 
 def matches(raw: str, prepared: str, case_sensitive: bool = False, limit: int = 200) -> list[tuple[int, int, str]]:
@@ -87,7 +102,10 @@ def matches(raw: str, prepared: str, case_sensitive: bool = False, limit: int =
 def _normalized(raw: pd.Series) -> pd.DataFrame:
     rows = []
     for r in raw:
-        text, breaks = normalize(r or "")
+        if r is None:
+            rows.append(("", "", []))
+            continue
+        text, breaks = normalize(r)
         rows.append((text, fold(text), [{"at": a, "delta": d} for a, d in breaks]))
     return pd.DataFrame(rows, columns=["normalized", "folded", "breaks"])
 
@@ -106,27 +124,25 @@ def folded_simple(normalized: Column) -> Column:
     return F.lower(normalized)
 
 
-def breaks_simple(raw: Column) -> Column:
-    """Offset map of texts that match SIMPLE: one break at the start and one after each run of several white characters.
+def breaks_simple(raw: Column, size: Column) -> Column:
+    """Offset map of texts that match SIMPLE, of which size is the normalised length.
 
-    A run is one space at its first character, so what follows lies further right by the run's length - 1.
+    There is one break at the start and one after each run of several white characters, which becomes one space. Texts are
+    split at those runs alone, so that most have one piece.
     """
-    lead = F.char_length(F.regexp_extract(raw, r"^[\x09-\x0D\x20]*", 0))
+    lead = F.char_length(F.regexp_extract(raw, r"\A[\x09-\x0D\x20]*", 0))
     rest = F.substring(raw, lead + 1, F.char_length(raw))
-    pieces = F.regexp_extract_all(rest, F.lit(r"[^\x09-\x0D\x20]+(?:[\x09-\x0D\x20]+|$)"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), lead.alias("delta"), F.array().cast(BREAKS).alias("out"))
+    pieces = F.split(rest, r"[\x09-\x0D\x20]{2,}")
+    runs = F.regexp_extract_all(rest, F.lit(r"[\x09-\x0D\x20]{2,}"), F.lit(0))
+    both = F.transform(runs, lambda run, i: F.struct(F.char_length(F.get(pieces, i)).alias("text"), F.char_length(run).alias("run")))
+    start = F.struct(F.lit(0).alias("at"), lead.alias("delta"), F.array(F.struct(F.lit(0).alias("at"), lead.alias("delta"))).cast(BREAKS).alias("out"))
 
     def step(state, piece):
-        run = F.char_length(piece) - F.char_length(F.regexp_replace(piece, r"[\x09-\x0D\x20]+$", ""))
-        at = state["at"] + F.char_length(piece) - F.greatest(run - 1, F.lit(0))
-        delta = state["delta"] + F.greatest(run - 1, F.lit(0))
-        more = F.array(F.struct(at.alias("at"), delta.alias("delta")))
-        return F.struct(at.alias("at"), delta.alias("delta"), F.when(run > 1, F.concat(state["out"], more)).otherwise(state["out"]).alias("out"))
+        at, delta = state["at"] + piece["text"] + 1, state["delta"] + piece["run"] - 1
+        return F.struct(at.alias("at"), delta.alias("delta"), F.concat(state["out"], F.array(F.struct(at.alias("at"), delta.alias("delta")))).alias("out"))
 
-    first = F.array(F.struct(F.lit(0).alias("at"), lead.alias("delta"))).cast(BREAKS)
-    size = F.char_length(normalized_simple(raw))
-    all_of = F.aggregate(pieces, start, step, lambda s: F.concat(first, s["out"]))
-    return F.filter(all_of, lambda b: (b["at"] < size))
+    every = F.when(F.size(runs) == 0, start["out"]).otherwise(F.aggregate(both, start, step, lambda s: s["out"]))
+    return F.filter(every, lambda b: b["at"] < size)
 
 
 def offset_lookup(breaks: Column, index: Column) -> Column:
@@ -135,16 +151,28 @@ def offset_lookup(breaks: Column, index: Column) -> Column:
     return F.greatest(F.lit(0), index + F.coalesce(F.try_element_at(before, F.lit(-1))["delta"], F.lit(0)))
 
 
+def may_hold(raw: Column, prepared: str) -> Column:
+    """Whether a raw page may hold a prepared query. Normalisation keeps the words of SIMPLE pages, so all words of the query
+    must be in their lower case; other pages always may."""
+    text = F.coalesce(raw, F.lit(""))
+    every = F.lit(True)
+    for word in dict.fromkeys(prepared.lower().split(" ")):
+        if word:
+            every = every & F.contains(F.lower(text), F.lit(word))
+    return every | ~text.rlike(SIMPLE)
+
+
 def with_search_text(pages: DataFrame, raw: str = "raw", breaks: bool = False) -> DataFrame:
-    """Adds normalized, folded (and breaks): JVM-side where texts are simple, by the exact kernel for the rest alone."""
-    simple = F.coalesce(F.col(raw), F.lit("")).rlike(SIMPLE)
+    """Adds normalized, folded (and breaks) in one pass: JVM-side where texts are simple, by the exact kernel for the rest, which
+    alone is sent to Python."""
     text = F.coalesce(F.col(raw), F.lit(""))
-    fast = pages.where(simple).withColumn("normalized", normalized_simple(text)).withColumn("folded", folded_simple(F.col("normalized")))
-    slow = pages.where(~simple).withColumn("__n", normalized_exact(F.col(raw)))
-    slow = slow.withColumn("normalized", F.col("__n.normalized")).withColumn("folded", F.col("__n.folded"))
+    rows = pages.withColumn("__simple", text.rlike(SIMPLE))
+    rows = rows.withColumn("__n", normalized_exact(F.when(~F.col("__simple"), F.col(raw))))
+    rows = rows.withColumn("normalized", F.when(F.col("__simple"), normalized_simple(text)).otherwise(F.col("__n.normalized")))
+    rows = rows.withColumn("folded", F.when(F.col("__simple"), folded_simple(F.col("normalized"))).otherwise(F.col("__n.folded")))
     if breaks:
-        fast, slow = fast.withColumn("breaks", breaks_simple(text)), slow.withColumn("breaks", F.col("__n.breaks"))
-    return fast.unionByName(slow.drop("__n"))
+        rows = rows.withColumn("breaks", F.when(F.col("__simple"), breaks_simple(text, F.char_length("normalized"))).otherwise(F.col("__n.breaks")))
+    return rows.drop("__n", "__simple")
 
 
 def page_cost(normalized: Column, folded: Column, breaks: Column) -> Column:
@@ -157,14 +185,15 @@ def occurrences(text: Column, prepared: str) -> Column:
     return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(prepared), F.lit("")))) / len(prepared)).cast("int")
 
 
-def match_starts(text: Column, prepared: str, limit: int) -> Column:
-    """Starts of the first occurrences, left to right, in text."""
-    pieces = F.split(text, "\\Q" + prepared.replace("\\E", "\\E\\\\E\\Q") + "\\E", limit + 1)
-    n = F.least(F.size(pieces) - 1, F.lit(limit))
-    sizes = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.char_length(p))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: sizes(i) + (i - 1) * len(prepared))).otherwise(F.array().cast("array<int>"))
+MATCHES = "array<struct<start:int,len:int,snippet:string>>"
+
+
+def match_list(raw: Column, query: str, case_sensitive: bool, limit: int) -> Column:
+    """Array of a raw page's matches: raw start, raw length and snippet, left to right, by the kernel. For pages that do match."""
+    prepared = prepare_query(query, case_sensitive)
 
+    @F.pandas_udf(MATCHES)
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda r: [{"start": a, "len": n, "snippet": t} for a, n, t in matches(r or "", prepared, case_sensitive, limit)])
 
-def snippet(normalized: Column, start: Column, length: int) -> Column:
-    low = F.greatest(start - SNIPPET, F.lit(0))
-    return F.substring(normalized, low + 1, start + length + SNIPPET - low)
+    return run(raw)

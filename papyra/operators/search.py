@@ -23,6 +23,13 @@ def counted(pages: DataFrame, query: str, case_sensitive: bool = False) -> DataF
     return pages.where(F.contains(hay, F.lit(prepared))).withColumn("n", tx.occurrences(hay, prepared)) if prepared else pages.limit(0).withColumn("n", F.lit(0))
 
 
+def worth_reading(raw: Column, query: str) -> Column:
+    """Whether a stored page's bytes may hold the prepared query: it does, or the query has a character that JSON escapes."""
+    if any(c in '"\\' or ord(c) < 0x20 for c in query):
+        return F.lit(True)
+    return F.contains(raw, F.lit(query))
+
+
 def library_search(pages: DataFrame, query: str, case_sensitive: bool = False, per_document: int = PER_DOCUMENT, documents: int = DOCUMENTS) -> DataFrame:
     """Ranked documents (path, total): the first `documents` by path that match, most matches first, then by path.
 
@@ -44,11 +51,30 @@ def document_search(pages: DataFrame, query: str, case_sensitive: bool = False,
 
 
 def match_rows(pages: DataFrame, query: str, case_sensitive: bool = False, per_page: int = PER_PAGE) -> DataFrame:
-    """A row for each match: (doc, src, start, snippet), start in normalised text."""
-    prepared = tx.prepare_query(query, case_sensitive)
-    hay = F.col("normalized" if case_sensitive else "folded")
-    rows = counted(pages, query, case_sensitive).select("doc", "src", "normalized", F.explode(tx.match_starts(hay, prepared, per_page)).alias("start"))
-    return rows.select("doc", "src", "start", tx.snippet(F.col("normalized"), F.col("start"), len(prepared)).alias("snippet"))
+    """A row for each match of pages (doc, src, raw, normalized, folded): (doc, src, start, len, snippet), the first two of those
+    in raw text. Only pages that hold the query reach the kernel."""
+    rows = counted(pages, query, case_sensitive)
+    rows = rows.select("doc", "src", F.explode(tx.match_list(F.col("raw"), query, case_sensitive, per_page)).alias("m"))
+    return rows.select("doc", "src", "m.*")
+
+
+def library_hits(pages: DataFrame, query: str, case_sensitive: bool = False, per_document: int = PER_DOCUMENT, documents: int = DOCUMENTS) -> DataFrame:
+    """Ranked documents with their pages: (rank, path, name, total, pages), pages an array of (src, matches).
+
+    Documents come as in library_search. Pages of raw text (path, name, src, raw, normalized, folded) are taken in order, each
+    with as many matches as the document has left of per_document; kernels run on the pages of the ranked documents alone.
+    """
+    found = library_search(pages, query, case_sensitive, per_document, documents)
+    names = pages.groupBy("path").agg(F.first("name").alias("name"))
+    ranked = F.broadcast(found)  # at most `documents` rows
+    rows = counted(pages, query, case_sensitive).join(ranked, "path").withColumn("n", F.least("n", F.lit(per_document)))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("src").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("left", per_document - before).where("left > 0")
+    rows = rows.withColumn("matches", F.slice(tx.match_list(F.col("raw"), query, case_sensitive, per_document), F.lit(1), F.least("n", "left").cast("int")))
+    held = rows.groupBy("path", "total").agg(F.sort_array(F.collect_list(F.struct("src", "matches"))).alias("pages"))  # per_document pages at most
+    held = held.join(names.join(ranked.select("path"), "path"), "path")
+    order = W.orderBy(F.desc("total"), F.col("name"), F.col("path"))
+    return held.select(F.row_number().over(order).alias("rank"), "path", "name", "total", "pages")
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,30 +100,64 @@ def gram_index(docs: DataFrame) -> DataFrame:
     return counts.select(F.lpad(F.hex("gram"), 8, "0").alias("gram"), "df", (F.col("df") > cutoff).alias("dropped"))
 
 
-def gram_candidates(docs: DataFrame, query: str) -> DataFrame:
-    """Slots that may hold the query: those with every gram of it that is not dropped, and those without text.
+#: Slots that share a row of postings: so many slots that a row is bounded, however many documents there are.
+BLOCK = 1 << 16
+
+
+def grams_of(text: str) -> list[int]:
+    """The different four-byte windows of a text's UTF-8, as numbers."""
+    data = text.encode()
+    return sorted({int.from_bytes(data[i : i + 4], "big") for i in range(len(data) - 3)})
 
-    The grams of the query are few: the scan keeps rows by a test on the text, and no posting list is collected.
+
+def gram_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, text) to (gram, block, slots): the documents of a batch that hold a gram."""
+    for batch in batches:
+        slots, grams = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for slot, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = np.frombuffer((text or "").encode(), dtype=np.uint8).astype(np.int64)
+            if len(data) >= 4:
+                own = np.unique(data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:])
+                grams.append(own)
+                slots.append(np.full(len(own), slot))
+        gram, slot = np.concatenate(grams), np.concatenate(slots)
+        order = np.lexsort((slot, gram))
+        gram, slot = gram[order], slot[order]
+        first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (slot[1:] // BLOCK != slot[:-1] // BLOCK)])) if len(gram) else np.zeros(0, dtype=np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)), pa.int32()), pa.array(slot, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(slot[first] // BLOCK), lists], ["gram", "block", "slots"])
+
+
+def gram_postings(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows (gram, block, slots) of documents (slot, folded): for each gram that `index` doesn't drop, its slots, sorted.
+
+    Dropped grams are the long lists; they leave before the shuffle, by a broadcast of the few that more than 15 % of the
+    documents hold (no more than 7 for each gram of a document). A row has one block of slots.
     """
-    prepared = tx.fold(query)
-    data = prepared.encode()
-    wanted = sorted({data[i : i + 4] for i in range(len(data) - 3)})
+    kept = docs.select("slot", "folded").mapInArrow(gram_slots, "gram long, block long, slots array<long>")
+    common = index.where("dropped").select(F.conv("gram", 16, 10).cast("long").alias("gram"))
+    kept = kept.join(common, "gram", "left_anti")
+    return kept.groupBy("gram", "block").agg(F.array_sort(F.flatten(F.collect_list("slots"))).alias("slots"))
+
+
+def gram_candidates(index: DataFrame, postings: DataFrame, always: DataFrame, query: str) -> tuple[str, DataFrame | None]:
+    """What an index says of a query: ("unknown", None) if it can't tell, else ("only", slots) that may hold it.
+
+    The query's few grams are looked up in the index and in the postings, both sorted by gram, so that the filter reaches the
+    scan; lists of a block are intersected by count. Rows of `always`, documents without text, may hold anything.
+    """
+    wanted = grams_of(tx.fold(query))
     if not wanted:
-        return docs.select("slot")
-    cutoff = max(1, -(-docs.count() * 15 // 100))
-    text = F.encode(F.coalesce("folded", F.lit("")), "UTF-8")
-    held = [F.contains(text, F.lit(g)) for g in wanted]
-    counts = docs.agg(*[F.count_if(h).alias(f"g{i}") for i, h in enumerate(held)]).first()
-    df = {g: counts[i] for i, g in enumerate(wanted)}
-    if any(df[g] == 0 for g in wanted):
-        return docs.where(F.col("folded").isNull()).select("slot")
-    usable = [g for g in wanted if df[g] <= cutoff]
+        return "unknown", None
+    known = {r.gram: r.dropped for r in index.where(F.col("gram").isin([f"{g:08X}" for g in wanted])).collect()}
+    if len(known) < len(wanted):
+        return "only", always.select("slot")
+    usable = [g for g in wanted if not known[f"{g:08X}"]]
     if not usable:
-        return docs.select("slot")
-    every = F.lit(True)
-    for g in usable:
-        every = every & F.contains(text, F.lit(g))
-    return docs.where(every | F.col("folded").isNull()).select("slot")
+        return "unknown", None
+    lists = postings.where(F.col("gram").isin(usable)).select("gram", F.explode("slots").alias("slot"))
+    found = lists.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") == len(usable)).select("slot")
+    return "only", found.union(always.select("slot")).distinct()
 
 
 #: Symbols of a trigram: A to Z, then digit, white space and all else.
@@ -117,11 +177,19 @@ def trigrams_of(query: str) -> list[str]:
     return sorted({s[i : i + 3] for i in range(len(s) - 2)})
 
 
-def admits(text: Column, query: str) -> Column:
-    """Whether a text has every trigram of the query, so that it may hold it; a query of fewer than three characters is always admitted."""
-    symbols, ok = trigram_symbols(text), F.lit(True)
+def trigram_number(symbols: str) -> int:
+    kind = lambda c: 26 if c == DIGIT else 27 if c == SPACE else 28 if c == OTHER else ord(c) - ord("A")
+    return kind(symbols[0]) << 10 | kind(symbols[1]) << 5 | kind(symbols[2])
+
+
+def admits(bits: Column, query: str) -> Column:
+    """Whether a bitmap of trigrams has every one of the query, so that its document may hold it. A query of fewer than three
+    characters is always admitted. The bits of a byte lie from the highest to the lowest."""
+    ok = F.lit(True)
     for t in trigrams_of(query):
-        ok = ok & F.contains(symbols, F.lit(t))
+        n = trigram_number(t)
+        byte = F.conv(F.hex(F.substring(bits, n // 8 + 1, 1)), 16, 10).cast("int")
+        ok = ok & (byte.bitwiseAND(0x80 >> n % 8) != 0)
     return ok
 
 

@@ -269,11 +269,13 @@ def annotations_dropped(spark, sf_dir):
     return gone.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber"), asc=False).alias("dropped"))
 
 
-@query("posting_sets", "SELECT s_suppkey, [3, 5] AS both, [1, 3, 5, 7, 9] AS either, [1] AS rest FROM supplier")
+@query("posting_sets", """WITH l AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_linenumber) FILTER (l_partkey % 2 = 0)) AS a, list_sort(list(DISTINCT l_linenumber) FILTER (l_quantity > 20)) AS b FROM lineitem GROUP BY 1), c AS (SELECT k, coalesce(a, []) AS a, coalesce(b, []) AS b FROM l)
+    SELECT k AS l_orderkey, list_sort(list_intersect(a, b)) AS both, list_sort(list_distinct(a || b)) AS either, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS rest FROM c""")
 def posting_sets(spark, sf_dir):
-    """SET-02, SET-03, SET-05."""
-    a, b = F.array(*[F.lit(x) for x in (1, 3, 5)]), F.array(*[F.lit(x) for x in (9, 3, 5, 7)])
-    return table(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", F.array_intersect(a, b).alias("both"), F.array_sort(F.array_union(a, b)).alias("either"), F.array_except(a, b).alias("rest"))
+    """SET-02, SET-03, SET-05: two lists of an order's lines; at most seven an order."""
+    some = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("l_linenumber"))))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(some(F.col("l_partkey") % 2 == 0).alias("a"), some(F.col("l_quantity") > 20).alias("b"))
+    return rows.select("l_orderkey", F.array_sort(F.array_intersect("a", "b")).alias("both"), F.array_sort(F.array_union("a", "b")).alias("either"), F.array_sort(F.array_except("a", "b")).alias("rest"))
 
 
 _ladder = ", ".join(f"{z}::DOUBLE" for z in geo.ZOOMS)
