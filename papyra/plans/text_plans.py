@@ -104,11 +104,11 @@ def first_page_metadata(spark, sf_dir):
 
 @query(
     "snippet_parts",
-    r"""WITH t AS (SELECT doc_id, substr(text, 1, 400) AS s FROM documents WHERE lang = 'en')
-    SELECT doc_id, len(regexp_extract_all(s, '(?i)of\s+the'))::INT AS n_match, (len(string_split(regexp_replace(s, '(?i)of\s+the', chr(1), 'g'), chr(1))) - CASE WHEN regexp_matches(s, '^(?i)of\s+the') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(s, '(?i)of\s+the$') THEN 1 ELSE 0 END)::INT AS n_plain FROM t""",
+    r"""WITH t AS (SELECT doc_id, text AS s, string_split(regexp_replace(text, '(?i)of\s+the', chr(1), 'g'), chr(1)) AS p FROM documents)
+    SELECT doc_id, len(regexp_extract_all(s, '(?i)of\s+the'))::INT AS n_match, (CASE WHEN len(p) = 1 THEN 1 ELSE len(list_filter(p, lambda x: x <> '')) END)::INT AS n_plain FROM t""",
 )
 def snippet_parts(spark, sf_dir):
-    """TXT-17, of all documents and whole texts. Its SQL reads the first 400 characters of English ones, and counts the empty part between neighbouring hits."""
+    """TXT-17, of all documents and whole texts; an empty part between hits is none."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     rows = docs.select("doc_id", formats.snippet_parts(F.col("text"), "of  the").alias("p"))
     count = lambda flag: F.size(F.filter("p", lambda x: x["match"] == flag))
@@ -293,12 +293,11 @@ def option_labels(spark, sf_dir):
 
 @query(
     "size_formats",
-    """WITH t AS (SELECT o_orderkey, (o_totalprice * (10 ** (o_orderkey % 5)))::BIGINT AS n FROM orders), v AS (SELECT o_orderkey, n, CASE WHEN n < 1048576 THEN n / 1024.0 WHEN n < 1073741824 THEN n / 1048576.0 ELSE n / 1073741824.0 END AS v FROM t)
-    SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' ELSE (CASE WHEN v < 10 THEN printf('%.1f', v::DOUBLE) ELSE printf('%.0f', v::DOUBLE) END) || CASE WHEN n < 1048576 THEN ' KB' WHEN n < 1073741824 THEN ' MB' ELSE ' GB' END END AS size FROM v
-    WHERE n < 1024 OR abs(v * CASE WHEN v < 10 THEN 10 ELSE 1 END - floor(v * CASE WHEN v < 10 THEN 10 ELSE 1 END) - 0.5) > 1e-6""",
+    """WITH t AS (SELECT o_orderkey, (o_totalprice * (10 ** (o_orderkey % 5)))::BIGINT AS n FROM orders), v AS (SELECT o_orderkey, n, n / (CASE WHEN n < 1048576 THEN 1024 WHEN n < 1073741824 THEN 1048576 ELSE 1073741824 END)::DOUBLE AS v FROM t)
+    SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' ELSE (CASE WHEN v < 10 THEN printf('%.1f', floor(v * 10 + 0.5)::DOUBLE / 10) ELSE printf('%.0f', floor(v + 0.5)::DOUBLE) END) || CASE WHEN n < 1048576 THEN ' KB' WHEN n < 1073741824 THEN ' MB' ELSE ' GB' END END AS size FROM v""",
 )
 def size_formats(spark, sf_dir):
-    """TXT-40, of all orders. Its SQL leaves out values at a rounding tie."""
+    """TXT-40, of all orders; ties are rounded up."""
     rows = table(spark, sf_dir, "orders").withColumn("n", F.round(F.col("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 5)).cast("long"))
     return rows.select("o_orderkey", formats.byte_size(F.col("n")).alias("size"))
 
