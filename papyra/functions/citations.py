@@ -79,3 +79,10 @@ def key(identifier: Column) -> Column:
     return F.concat_ws(":", identifier["scheme"], identifier["value"])
 
 
+
+
+def scanned(name: Column, page: Column) -> Column:
+    """The identifier that a scan finds: the file name's, else the first page's DOI or arXiv id, in this order."""
+    own, ids = from_filename(name), first_page(page)
+    read = F.when(ids["doi"].isNotNull(), F.struct(F.lit("doi").alias("scheme"), ids["doi"].alias("value"))).when(ids["arxiv"].isNotNull(), F.struct(F.lit("arxiv").alias("scheme"), ids["arxiv"].alias("value")))
+    return F.coalesce(own, read)

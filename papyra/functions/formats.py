@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Families of mathematical fonts, ligatures, and parts of shortcuts.
@@ -149,3 +149,14 @@ def snippet_parts(snippet: Column, query: str) -> Column:
     both = F.zip_with(gaps, hits, lambda g, h: F.array(part(g, False), part(h, True)))
     out = F.filter(F.flatten(both), lambda p: F.coalesce(p["text"], F.lit("")) != "")
     return F.when(F.size(out) == 0, F.array(part(snippet, False))).otherwise(out)
+
+
+def markdown_notes(notes: DataFrame, doc: str, title: Column) -> DataFrame:
+    """Rows (doc, markdown): notes (doc, page, at, quote, note) by page, quotations line by line behind `>`; blank ones are left
+    out. A document is one text; those without any notes have no row."""
+    quote = F.when(F.col("quote") != "", F.regexp_replace("quote", "(?m)^", "> "))
+    body = F.concat_ws("\n\n", quote, F.when(F.col("note") != "", F.col("note")))
+    rows = notes.select(F.col(doc), title.alias("title"), "page", "at", body.alias("body")).where("body <> ''")
+    held = rows.groupBy(doc, "title").agg(F.sort_array(F.collect_list(F.struct("page", "at", "body"))).alias("n"))
+    entry = F.transform("n", lambda n: F.concat(F.lit("**Page "), n["page"] + 1, F.lit("**\n\n"), n["body"]))
+    return held.select(doc, F.concat(F.lit("# "), "title", F.lit("\n\n"), F.array_join(entry, "\n\n"), F.lit("\n")).alias("markdown"))

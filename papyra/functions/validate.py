@@ -135,3 +135,8 @@ def page_jump(text: Column, pages: Column) -> Column:
     own = F.btrim(text)
     n = F.when(own.rlike(r"\A\d{1,7}\z"), own.cast("int"))
     return F.when(n.between(1, pages), n)
+
+
+def is_print_file(path: Column, folder: Column, prefix: str = "papyra-print-") -> Column:
+    """Whether a path names the file of a print job, right below the folder where they are made."""
+    return F.coalesce(path.rlike(r"\A.*/" + prefix + r"[^/]*\.pdf\z") & (F.regexp_replace(path, r"/[^/]*\z", "") == F.rtrim(folder, F.lit("/"))), F.lit(False))

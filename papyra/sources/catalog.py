@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,31 @@ def page_size_estimates(pages: DataFrame) -> DataFrame:
     early = F.col("src") < EAGER_PAGES
     width, height = F.when(early, F.col("width")), F.when(early, F.col("height"))
     return pages.groupBy("doc").agg(F.coalesce(middle(width), F.lit(PAGE_WIDTH)).alias("width"), F.coalesce(middle(height), F.lit(PAGE_HEIGHT)).alias("height"))
+
+
+def first_of_category(files: DataFrame, tokens: list[str]) -> DataFrame:
+    """Rows (category, path, n) of files (path): each belongs to the first token that its name has, regardless of case; the
+    first file by path stands for its category."""
+    name, category = F.lower(F.element_at(F.split("path", "/"), -1)), F.lit(None).cast("string")
+    for t in reversed(tokens):
+        category = F.when(F.contains(name, F.lit(t.lower())), t).otherwise(category)
+    return files.withColumn("category", category).where(F.col("category").isNotNull()).groupBy("category").agg(F.min("path").alias("path"), F.count("*").alias("n"))
+
+
+def canonical_roots(roots: list[str]) -> list[str]:
+    """Configured roots as they are known: existing folders alone, links resolved, once each, in order of name."""
+    return sorted({os.path.realpath(r) for r in roots if os.path.isdir(r)})
+
+
+def scanned_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Rows (path, mtime_ms, size) of regular PDF files below canonical roots, once each: links are left out, and so is what
+    resolves to a place outside its root. The driver lists names; folders of a cluster's store are listed by pdf_files."""
+    rows = {}
+    for root in canonical_roots(roots):
+        for folder, _, names in os.walk(root, followlinks=False):
+            for name in names:
+                path = os.path.join(folder, name)
+                if name.lower().endswith(".pdf") and os.path.isfile(path) and not os.path.islink(path) and os.path.realpath(path).startswith(root.rstrip("/") + "/"):
+                    mark = os.stat(path)
+                    rows[path] = (path, mark.st_mtime_ns // 1_000_000, mark.st_size)
+    return spark.createDataFrame([rows[p] for p in sorted(rows)], "path string, mtime_ms long, size long")

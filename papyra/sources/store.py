@@ -66,7 +66,7 @@ def file_mark(path: Column, mtime_ms: Column, size: Column) -> Column:
 def signature(files: DataFrame) -> DataFrame:
     """One row, the signature of files (path, mtime_ms, size) in any order: their marks added up, modulo 2**64."""
     total = F.coalesce(F.sum(file_mark(F.col("path"), F.col("mtime_ms"), F.col("size"))), F.lit(0)).cast("decimal(38,0)")
-    return files.agg((total % F.lit(WIDE).cast("decimal(38,0)")).cast("decimal(20,0)").alias("signature"))
+    return files.agg((total % F.lit(str(WIDE)).cast("decimal(38,0)")).cast("decimal(20,0)").alias("signature"))
 
 
 def write_sidecars(pages: DataFrame, root: str) -> None:
@@ -119,7 +119,7 @@ def delete_sidecars(paths: DataFrame, root: str) -> None:
 def scan_copies(pages: DataFrame) -> DataFrame:
     """Rows (path, text): the folded pages of a document in order, a line each. A document is one row of the file format."""
     held = pages.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("src", "folded"))).alias("p"))
-    return held.select("path", F.array_join(F.transform("p", lambda x: x["folded"]), "\\n").alias("text"))
+    return held.select("path", F.array_join(F.transform("p", lambda x: x["folded"]), "\n").alias("text"))
 
 
 def gram_index(spark: SparkSession, docs: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFrame]:
