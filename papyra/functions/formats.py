@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,3 +162,49 @@ def markdown_notes(notes: DataFrame, doc: str, title: Column) -> DataFrame:
     held = rows.groupBy(doc, "title").agg(F.sort_array(F.collect_list(F.struct("page", "at", "body"))).alias("n"))
     entry = F.transform("n", lambda n: F.concat(F.lit("**Page "), n["page"] + 1, F.lit("**\n\n"), n["body"]))
     return held.select(doc, F.concat(F.lit("# "), "title", F.lit("\n\n"), F.array_join(entry, "\n\n"), F.lit("\n")).alias("markdown"))
+
+
+def _latex(node: dict) -> str:
+    if "text" in node:
+        return node["text"]
+    parts = [_latex(c) for c in node.get("children", [])]
+    tag, n = node["tag"], len(parts)
+    braced = [p if len(p) == 1 else "{" + p + "}" for p in parts]
+    if tag == "mphantom":
+        return ""
+    if n == 2 and tag in ("msup", "mover"):
+        return f"{parts[0]}^{braced[1]}"
+    if n == 2 and tag in ("msub", "munder"):
+        return f"{parts[0]}_{braced[1]}"
+    if n == 3 and tag in ("msubsup", "munderover"):
+        return f"{parts[0]}_{braced[1]}^{braced[2]}"
+    if n == 2 and tag == "mfrac":
+        return rf"\frac{{{parts[0]}}}{{{parts[1]}}}"
+    if n == 2 and tag == "mroot":
+        return rf"\sqrt[{parts[1]}]{{{parts[0]}}}"
+    text = "".join(parts)
+    return rf"\sqrt{{{text}}}" if tag == "msqrt" else text
+
+
+def latex(tree: Column) -> Column:
+    """LaTeX of a JSON tree of marked-up mathematics: nodes with a tag and children, leaves with a text. Null: null."""
+
+    @F.pandas_udf("string")
+    def run(trees: pd.Series) -> pd.Series:
+        return trees.map(lambda t: None if t is None else _latex(json.loads(t)))
+
+    return run(tree)
+
+
+def span_start(text: Column, start: Column, claimed: Column, back: int = 6) -> Column:
+    """Where a span really begins: it takes in up to `back` characters before it that no other span has claimed, but does not
+    begin with white space."""
+    before = F.reverse(F.filter(F.sequence(F.greatest(start - back, F.lit(0)), start), lambda i: i < start))
+    state = F.struct(start.alias("start"), F.lit(True).alias("on"))
+
+    def step(s, i):
+        on = s["on"] & ~F.array_contains(claimed, i)
+        ink = ~F.substring(text, i + 1, F.lit(1)).rlike(r"\A\s\z")
+        return F.struct(F.when(on & ink, i).otherwise(s["start"]).alias("start"), on.alias("on"))
+
+    return F.aggregate(before, state, step, lambda s: s["start"])
