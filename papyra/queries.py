@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from papyra import registry
-from papyra.plans import edit_plans, library_plans, ranking_plans, search_plans, state_plans, store_plans, structure_plans, text_plans, view_plans  # noqa: F401
+from papyra.plans import edit_plans, extension_plans, library_plans, ranking_plans, search_plans, state_plans, store_plans, structure_plans, text_plans, view_plans  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
