@@ -21,7 +21,7 @@ def files(spark, sf_dir):
 
 @query("library_containment", f"SELECT path FROM (SELECT {FILE_SQL} FROM orders) WHERE starts_with(path, '/lib/r1/') OR starts_with(path, '/lib/r4/')")
 def library_containment(spark, sf_dir):
-    """SRC-02, SRC-03: a root that is only a prefix of a folder's name holds nothing."""
+    """SRC-03: a root that is only a prefix of a folder's name holds nothing."""
     return files(spark, sf_dir).where(catalog.under(F.col("path"), ["/lib/r1", "/lib/r4/", "/lib/r"])).select("path")
 
 
@@ -35,7 +35,7 @@ def scan_schedule(spark, sf_dir):
 @query("incremental_changes", f"""SELECT path, CASE WHEN k % 13 = 0 THEN 'added' WHEN k % 11 = 0 THEN 'removed' WHEN k % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change
     FROM (SELECT o_orderkey AS k, {FILE_SQL} FROM orders) WHERE NOT (k % 11 = 0 AND k % 13 = 0)""")
 def incremental_changes(spark, sf_dir):
-    """SRC-04, SRC-06, SRC-12."""
+    """SRC-04, SRC-06."""
     every = files(spark, sf_dir)
     now = every.where("o_orderkey % 11 <> 0").withColumn("size", F.col("size") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0))
     return catalog.changes(now, every.where("o_orderkey % 13 <> 0"))
@@ -88,7 +88,7 @@ def citation_resolution(spark, sf_dir):
       FROM events WINDOW p AS (PARTITION BY user_id ORDER BY event_id))
     SELECT doc, id, s AS section, CASE WHEN b > coalesce(s, -1) THEN b END AS subsection, CASE WHEN e > greatest(coalesce(s, -1), coalesce(b, -1)) THEN e END AS environment FROM w WHERE event_type IN ('view', 'click')""")
 def structure_context(spark, sf_dir):
-    """JON-05, JON-06."""
+    """JON-05."""
     kind = F.create_map(*[F.lit(x) for x in ("signup", "section", "purchase", "subsection", "error", "environment")])
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("at"), F.col("event_id").alias("id"), F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("point")).alias("kind"))
     return lookup.contexts(rows)
@@ -105,7 +105,7 @@ def boxes(spark, sf_dir):
 @query("runs_under_quads", f"""WITH b AS ({BOX_SQL}) SELECT r.l_orderkey, r.l_linenumber FROM b r WHERE r.l_linenumber % 2 = 1 AND EXISTS (SELECT 1 FROM b q WHERE q.l_orderkey = r.l_orderkey AND q.l_linenumber % 2 = 0
     AND greatest(0, least(r.x + r.w, q.x + q.w) - greatest(r.x, q.x)) * greatest(0, least(r.y + r.h, q.y + q.h) - greatest(r.y, q.y)) >= 0.5 * r.w * r.h)""")
 def runs_under_quads(spark, sf_dir):
-    """JON-09, JON-10."""
+    """JON-09."""
     b = boxes(spark, sf_dir)
     return lookup.covered(b.where("l_linenumber % 2 = 1"), b.where("l_linenumber % 2 = 0"), "l_orderkey").select("l_orderkey", "l_linenumber")
 
@@ -125,7 +125,7 @@ def stacked(spark, sf_dir):
 
 @query("page_layout", STACK_SQL)
 def page_layout(spark, sf_dir):
-    """WIN-01, AGG-13."""
+    """WIN-01."""
     return stacked(spark, sf_dir)
 
 
@@ -138,7 +138,7 @@ def visible_pages(spark, sf_dir):
 
 @query("page_at_position", f"SELECT doc, coalesce(min(src) FILTER (top + height >= 700), max(src)) AS page FROM ({STACK_SQL}) GROUP BY doc")
 def page_at_position(spark, sf_dir):
-    """JON-12, JON-13."""
+    """JON-12."""
     return lookup.page_at(stacked(spark, sf_dir), F.lit(700.0))
 
 
@@ -171,7 +171,7 @@ def sampled_pages(spark, sf_dir):
 
 @query("cache_ratios", "SELECT user_id, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::DOUBLE / nullif(count(*) FILTER (event_type IN ('view', 'click')), 0) AS ratio, min(value) AS low, max(value) AS high FROM events GROUP BY user_id")
 def cache_ratios(spark, sf_dir):
-    """AGG-08, AGG-10, STR-13."""
+    """AGG-10, and extremes of a value."""
     looked = F.count_if(F.col("event_type").isin("view", "click"))
     ratio = F.count_if(F.col("event_type") == "view").cast("double") / F.nullif(looked, F.lit(0))
     return table(spark, sf_dir, "events", "user_id", "event_type", "value").groupBy("user_id").agg(ratio.alias("ratio"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -194,7 +194,7 @@ def tile_grid(spark, sf_dir):
 
 @query("nested_headings", "SELECT user_id AS doc, event_id AS id, CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END::INT AS depth, CASE WHEN event_type <> 'signup' THEN max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) END AS parent FROM events")
 def nested_headings(spark, sf_dir):
-    """WIN-12, SRC-15."""
+    """WIN-12."""
     rows = table(spark, sf_dir, "events").selectExpr("user_id AS doc", "event_id AS id", "CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END AS depth")
     return layout.nested(rows)
 
@@ -208,13 +208,13 @@ def palette_sections(spark, sf_dir):
 @query("recent_documents", """SELECT user_id, path, opened, rank::INT AS rank FROM (SELECT user_id, path, opened, row_number() OVER (PARTITION BY user_id ORDER BY opened DESC, path) AS rank
     FROM (SELECT user_id, '/lib/' || (event_id % 37) || '.pdf' AS path, max(event_id) AS opened FROM events GROUP BY ALL)) WHERE rank <= 20""")
 def recent_documents(spark, sf_dir):
-    """WIN-14, WIN-15, EDT-11."""
+    """WIN-14."""
     return layout.recent(table(spark, sf_dir, "events").selectExpr("user_id", "concat('/lib/', event_id % 37, '.pdf') AS path", "event_id AS opened"), "user_id", 20)
 
 
 @query("budget_prefix", f"SELECT doc_id AS doc, src::INT AS src FROM (SELECT doc_id, src, sum(64 + strlen(raw)) OVER (PARTITION BY doc_id ORDER BY src ROWS UNBOUNDED PRECEDING) AS spent FROM ({PAGES_SQL})) WHERE spent <= 2000")
 def budget_prefix(spark, sf_dir):
-    """STR-09, STR-11."""
+    """STR-09: the pages that a budget covers from the first on."""
     rows = pages(spark, sf_dir).select(F.col("doc_id").alias("doc"), "src", (64 + F.octet_length("raw")).cast("long").alias("cost"))
     return layout.within_budget(rows, 2000).select("doc", "src")
 
@@ -222,13 +222,13 @@ def budget_prefix(spark, sf_dir):
 @query("stale_jobs", """WITH j AS (SELECT user_id AS doc, event_id AS seq, (event_id % 20)::BIGINT AS stamp, event_type = 'error' AS bump FROM events), g AS (SELECT doc, count(*) FILTER (bump) AS n FROM j GROUP BY doc)
     SELECT j.doc, seq, stamp < n AS stale FROM j JOIN g ON j.doc = g.doc""")
 def stale_jobs(spark, sf_dir):
-    """STR-04, STR-12."""
+    """STR-04."""
     return layout.stale_jobs(table(spark, sf_dir, "events").selectExpr("user_id AS doc", "event_id AS seq", "event_id % 20 AS stamp", "event_type = 'error' AS bump")).select("doc", "seq", "stale")
 
 
 @query("job_order", "SELECT user_id AS doc, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 9, event_id)::INT AS turn FROM events")
 def job_order(spark, sf_dir):
-    """ORD-07, STR-03: jobs of each document by level, first come first served within one."""
+    """Jobs of each document by level, first come first served within one; queue_order has the queue over all."""
     rows = table(spark, sf_dir, "events").selectExpr("user_id AS doc", "event_id AS seq", "event_id % 9 AS level")
     return layout.first_of_each(rows, "doc", ["level", "seq"], 2**31 - 1).select("doc", "seq", F.col("rank").alias("turn"))
 
@@ -249,7 +249,7 @@ def debounced_queries(spark, sf_dir):
 
 @query("indexing_progress", f"SELECT doc_id AS doc, count(*) AS pages, sum(length(raw))::BIGINT AS chars FROM ({PAGES_SQL}) GROUP BY doc_id")
 def indexing_progress(spark, sf_dir):
-    """STR-01, SRC-10."""
+    """STR-01: pages and characters so far."""
     return streams.indexing_progress(pages(spark, sf_dir).select(F.col("doc_id").alias("doc"), "raw"))
 
 
@@ -263,7 +263,7 @@ def page_rotations(spark, sf_dir):
 @query("annotations_dropped", """SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber), 'DESC') AS dropped FROM lineitem l
     WHERE NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_orderkey = l.l_orderkey AND k.l_linenumber = l.l_linenumber AND k.l_partkey % 3 <> 0) GROUP BY l_orderkey""")
 def annotations_dropped(spark, sf_dir):
-    """JON-04, SET-04, EDT-04, EDT-10: source indices that no edited annotation kept, the highest first."""
+    """JON-04, SET-04, EDT-10: source indices that no edited annotation kept, the highest first."""
     rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
     gone = rows.join(rows.where("l_partkey % 3 <> 0"), ["l_orderkey", "l_linenumber"], "left_anti")
     return gone.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber"), asc=False).alias("dropped"))

@@ -97,7 +97,7 @@ def match_navigation(spark, sf_dir):
     SELECT gram, count(*)::BIGINT AS df, count(*) > (SELECT cut FROM n) AS dropped FROM g GROUP BY gram""",
 )
 def gram_index_build(spark, sf_dir):
-    """SCH-05, SCH-07, SNK-07, AGG-12."""
+    """SCH-05, AGG-12: how many documents hold a gram, and whether it is dropped."""
     return search.gram_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slot"), F.lower("text").alias("folded")))
 
 

@@ -156,3 +156,26 @@ def library_roots_missing(spark, sf_dir):
     """JON-18: roots of the settings that the engine has not got."""
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier", "s_suppkey").select(k, F.array_except(F.array(F.concat(F.lit("/a/"), k), F.lit("/b"), F.lit("/b")), F.array(F.lit("/b"), F.lit("/c"))).alias("missing"))
+
+
+@query("index_files", """WITH d AS (SELECT n_regionkey AS region, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS slot, encode(lower(n_name)) AS b FROM nation), g AS (SELECT DISTINCT region, slot, hex(b[i:i + 3]) AS gram FROM (SELECT region, slot, b, unnest(range(1, octet_length(b) - 2)) AS i FROM d))
+    SELECT region, gram, list_sort(list(slot::BIGINT)) AS slots FROM g GROUP BY ALL""")
+def index_files(spark, sf_dir):
+    """SNK-07, SNK-08: the index of a region's nations as the bytes of a file, and what reading them gives. A file is of few documents."""
+    import pandas as pd
+
+    from papyra.operators.search import grams_of
+
+    def through(group: pd.DataFrame) -> pd.DataFrame:
+        names = group.sort_values("n_nationkey").n_name.str.lower().tolist()
+        postings: dict = {}
+        for slot, name in enumerate(names):
+            for gram in grams_of(name):
+                postings.setdefault(gram, []).append(slot)
+        data = store.index_bytes(7, names, postings, [])
+        if store.index_of_bytes(data[:-1]) is not None:
+            raise ValueError("a cut file is no index")
+        _, _, lists, _ = store.index_of_bytes(data)
+        return pd.DataFrame([(int(group.n_regionkey.iloc[0]), f"{g:08X}", x) for g, x in lists.items()], columns=["region", "gram", "slots"])
+
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").applyInPandas(through, "region int, gram string, slots array<long>")
