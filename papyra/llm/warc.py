@@ -76,7 +76,7 @@ class Member:
 
     def __init__(self, first: bytes, read):
         self.inflate, self.left, self.read = zlib.decompressobj(31), first, read
-        self.held, self.took, self.step = bytearray(), 0, 64  # a little first: the header is read before damage behind it
+        self.held, self.fed, self.step = bytearray(), len(first), 64  # a little first: the header is read before damage behind it
 
     def more(self) -> bool:
         """Decodes some more; whether there was any. Raises zlib.error on damage, EOFError where the file ends too soon."""
@@ -85,11 +85,10 @@ class Member:
                 self.left = self.read()
                 if not self.left:
                     raise EOFError("the archive ends inside a record")
-            given = len(self.left)
+                self.fed += len(self.left)
             out = self.inflate.decompress(self.left, self.step)
             self.step = min(2 * self.step, STEP)
             self.left = self.inflate.unconsumed_tail
-            self.took += given - len(self.left)
             if out:
                 self.held += out
                 return True
@@ -123,7 +122,8 @@ class Member:
 
     @property
     def size(self) -> int:
-        return self.took - len(self.inflate.unused_data)
+        """Compressed bytes of the member, once it is decoded to its end."""
+        return self.fed - len(self.inflate.unused_data)
 
 
 def is_member(head: bytes, read=lambda: b"") -> bool:

@@ -98,3 +98,12 @@ def test_magic_within_bytes_is_no_record():
     junk = zlib.compress(b"x" * 50)
     data = gzip.compress(raw(1, warc.MAGIC * 400 + junk)) + gzip.compress(warc.MAGIC * 50) + gzip.compress(raw(2, b"z"))
     assert records(data) == ["urn:x:1", "urn:x:2"]
+
+
+def test_many_records_of_all_sizes_come_once_and_in_order():
+    rng = random.Random(4)
+    rows = [{"record_type": "response", "record_id": f"urn:row:{i}", "payload": bytes(rng.choices(b"abcdef<> ", k=rng.choice([0, 1, 63, 64, 100, 3000, 20_000]))), "payload_digest": "0", "target_uri": None, "refers_to": None} for i in range(400)]
+    data = b"".join(map(warc.member, rows))
+    assert records(data) == [r["record_id"] for r in rows]
+    for step in (1000, 40_000):
+        assert [x for a in range(0, len(data), step) for x in records(data, a, a + step)] == [r["record_id"] for r in rows]
