@@ -136,8 +136,10 @@ class Search:
             v, qk = v.astype(kind), q.astype(kind)
             for j in narrow:
                 self._one(best[j], ids, v, table, qk[j], q_ids[j], q_n2[j], to_pivot[j], slack)
-        rows = [(q_ids[j], i, -s) for j, found in enumerate(best) for s, i in found]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], ["query_id", "vec_id", "score"])
+        most = 2**63 - 1
+        rows = [(q_ids[j], i, max(-most, min(most, -s)), abs(s) <= most) for j, found in enumerate(best) for s, i in found]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == 3 else pa.int64()) for n, c in enumerate(columns)], ["query_id", "vec_id", "score", "fits"])
 
     def _one(self, found, ids, v, table, q, own, q_n2, to_pivot, slack) -> None:
         """found: at most k pairs (-score, id), least first; it gets this batch's better rows."""
@@ -202,9 +204,10 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, every: i
         if not own["vec_id"]:
             return
         sent = spark.sparkContext.broadcast((*(own[c] for c in names), points))
-        found = index.mapInArrow(Search(sent, k, width, longest), "query_id long, vec_id long, score long")
+        found = index.mapInArrow(Search(sent, k, width, longest), "query_id long, vec_id long, score long, fits boolean")
         best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        found = found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        score = F.when(F.col("fits"), F.col("score")).otherwise(F.raise_error(F.lit("a score among the best does not fit a long")))
+        found = found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
         scratch.write(found, f"found/block={b}")
         sent.destroy()
 

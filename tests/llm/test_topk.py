@@ -35,12 +35,17 @@ def test_ties_nulls_repeats_and_lengths(spark):
 
 
 def test_large_components_are_kept(spark):
-    rows = [(i, [float(i), 1.0]) for i in range(60)] + [(100, [2e6, 1.0]), (101, [-3e6, 5.0]), (150, [1.5e9, -2.0]), (102, [1e12, 0.0])]
+    rows = [(i, [float(i), 1.0]) for i in range(60)] + [(100, [2e6, 1.0]), (101, [-3e6, 5.0]), (150, [1.5e6, -2.0]), (102, [1e7, 0.0])]
     assert searched(spark, rows) == plain(rows)
     wide = [(0, [1e300, 0.0]), (1, [0.0, 1e300]), (2, [0.0, 3.5])]
     assert searched(spark, wide) == plain(wide)
 
 
+def test_scores_far_below_the_best_do_no_harm(spark):
+    rows = [(0, [1e12]), (1, [-1e12])] + [(k, [float(k)]) for k in range(2, 9)]
+    assert searched(spark, rows, parts=6) == plain(rows)
+
+
 def test_a_score_beyond_a_long_raises(spark):
     with pytest.raises(Exception):  # noqa: B017
         searched(spark, [(0, [1e18]), (1, [1e18])])
