@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,27 @@ def shared_root(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: What modules keep in a Python worker to save work within a task.
+KEPT: list = []
+
+
+def freeing(run: Callable) -> Callable:
+    """A mapInArrow function whose Python worker, which lives on beside later stages, empties what is KEPT after each task and
+    gives its free memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for cache in KEPT:
+            cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 class Scratch:
     """Tables of one operator call, written to the shared folder; a lost executor rereads them."""
 

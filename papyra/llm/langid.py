@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import free_name
+from papyra.llm.common import free_name, freeing
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -176,7 +176,7 @@ def fit(labelled: DataFrame, sample_docs: int = 1500, grams: int = 20_000, least
     part = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
     sample = labelled.where(draw < F.coalesce(F.try_element_at(part, F.col("lang")), F.lit(0.0))).select("lang", "text")
-    counted = sample.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(freeing(gram_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = counted.withColumn("part", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
     by_gram = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n", "part")).alias("in"))  # a row for each language at most
     largest = F.array_max(F.transform("in", lambda x: x["part"]))
@@ -220,7 +220,7 @@ def identify(docs: DataFrame, into: str = "language") -> DataFrame:
     filters = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     sent = spark.sparkContext.broadcast(filters)
     schema = T.StructType([*docs.schema, T.StructField("__guess", T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))])
-    rows = docs.mapInArrow(predicted(sent, docs.columns.index("text")), schema)
+    rows = docs.mapInArrow(freeing(predicted(sent, docs.columns.index("text"))), schema)
     judged = F.struct(held_out(F.col("doc_id")).alias("held_out"), F.col("__guess.lang_pred"), F.col("__guess.score"))
     return rows.withColumn(into, judged).drop("__guess")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import Scratch, heavy_join, row_key, set_up_shared
+from papyra.llm.common import KEPT, Scratch, freeing, heavy_join, row_key, set_up_shared
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -39,17 +39,18 @@ _golden = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
-    """Hash of each word, kept for up to 2**20 words in a Python worker."""
+    """Hash of each word, kept for up to 2**19 words of a task."""
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 19:
             self.clear()
         self[word] = h
         return h
 
 
 _hashes = _Hashes()
+KEPT.append(_hashes)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -141,7 +142,7 @@ def word_df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def idf_table(docs: DataFrame) -> np.ndarray:
     """idf of each bucket, over all documents: 2**18 rows at most come back."""
     n = docs.count()
-    rows = docs.select("text").mapInArrow(word_df, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(freeing(word_df), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(1 << BUCKETS)
     df[np.asarray(rows.column("bucket"))] = np.asarray(rows.column("n"))
     return 1 + np.log((n + 1) / (df + 1)) / np.log(n + 2)
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, samples: int = 24, band
     scratch = Scratch(spark, "near-dup")
     docs = docs.select(*row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).alias("text"))
     sent = spark.sparkContext.broadcast(idf_table(docs))
-    sets = docs.mapInArrow(sampled(sent, samples, band_rows), "__id long, __t1 long, set binary, bands array<long>")
+    sets = docs.mapInArrow(freeing(sampled(sent, samples, band_rows)), "__id long, __t1 long, set binary, bands array<long>")
     sets = scratch.write(sets, "sets")
     # a node is a weighted set, named by the row that holds it first
     own = F.struct("__id", "__t1")
@@ -301,7 +302,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, samples: int = 24, band
         pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         pairs = pairs.select("a", "text_a", "b", "text_b").sortWithinPartitions("a")
-        return scratch.write(pairs.mapInArrow(verified(sent, least), "a long, b long"), name)
+        return scratch.write(pairs.mapInArrow(freeing(verified(sent, least)), "a long, b long"), name)
 
     def toward(df: DataFrame) -> DataFrame:
         pairs = df.select(F.explode("centres").alias("a"), F.col("node").alias("b"))
@@ -328,7 +329,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, samples: int = 24, band
     spread = spread.select(F.xxhash64("band", "key", F.least("at", "other"), F.greatest("at", "other")).alias("tile"), "node", "label").distinct()
     spread = spread.join(texts, "node").select("tile", "node", "label", "text")
     spread = spread.repartition("tile").sortWithinPartitions("tile", "node")
-    more = scratch.write(spread.mapInArrow(tile_links(sent, least), "a long, b long"), "links-4")
+    more = scratch.write(spread.mapInArrow(freeing(tile_links(sent, least)), "a long, b long"), "links-4")
     labels = components(links.union(more), scratch, "round-4")
     joined = nodes.select("node", "set", "__id", "__t1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_id = joined.groupBy("label").agg(F.min(F.struct("__id", "__t1")).alias("least"))
