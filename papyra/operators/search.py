@@ -182,7 +182,15 @@ def trigram_number(symbols: str) -> int:
     return kind(symbols[0]) << 10 | kind(symbols[1]) << 5 | kind(symbols[2])
 
 
-def admits(bits: Column, query: str) -> Column:
+def admits(text: Column, query: str) -> Column:
+    """Whether a text has every trigram of the query, where no bitmap of it is stored."""
+    symbols, ok = trigram_symbols(text), F.lit(True)
+    for t in trigrams_of(query):
+        ok = ok & F.contains(symbols, F.lit(t))
+    return ok
+
+
+def bitmap_admits(bits: Column, query: str) -> Column:
     """Whether a bitmap of trigrams has every one of the query, so that its document may hold it. A query of fewer than three
     characters is always admitted. The bits of a byte lie from the highest to the lowest."""
     ok = F.lit(True)

@@ -169,7 +169,7 @@ def library_search_pruned(spark, sf_dir):
     if found is not None:
         docs = docs.join(found, "slot", "left_semi")
     bits = search.trigram_bitmaps(docs, "slot", "text")
-    docs = docs.join(bits.where(search.admits(F.col("bits"), "ononwhsh")), "slot", "left_semi")
+    docs = docs.join(bits.where(search.bitmap_admits(F.col("bits"), "ononwhsh")), "slot", "left_semi")
     pages = docs.select(F.expr(PATH).alias("path"), F.explode(F.split("text", "\n", -1)).alias("raw"))
     return search.library_search(tx.with_search_text(pages.where(tx.may_hold(F.col("raw"), "ononwhsh"))), "ononwhsh")
 
@@ -188,7 +188,7 @@ SYMBOLS_SQL = "translate(upper(regexp_replace({text}, '[^A-Za-z0-9\\x09-\\x0D\\x
 def trigram_admission(spark, sf_dir):
     """SCH-01, SCH-02, SCH-04: on the bitmap of each document, here of its text as one page."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.translate("text", "\n", " "))
-    return search.trigram_bitmaps(docs, "doc_id", "text").select("doc_id", search.admits(F.col("bits"), "Tion a").alias("admitted"))
+    return search.trigram_bitmaps(docs, "doc_id", "text").select("doc_id", search.bitmap_admits(F.col("bits"), "Tion a").alias("admitted"))
 
 
 @query("trigram_bitmap_popcount", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), s AS (SELECT doc_id, {SYMBOLS_SQL.format(text='raw')} AS s FROM l),

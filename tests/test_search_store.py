@@ -101,7 +101,7 @@ def test_trigram_bitmaps_admit_what_is_there(spark):
     texts = [(i, "".join(rng.choice("aB1 é,\n") for _ in range(40))) for i in range(60)]
     bits = search.trigram_bitmaps(spark.createDataFrame(texts, "id int, text string"), "id", "text")
     for q in ["ab1", "b 1a", "é,a", "zzz", "ab"]:
-        got = {r.id for r in bits.where(search.admits(F.col("bits"), q)).collect()}
+        got = {r.id for r in bits.where(search.bitmap_admits(F.col("bits"), q)).collect()}
         assert {i for i, t in texts if any(q.lower() in page.lower() for page in t.split("\n"))} <= got
         assert q != "zzz" or not got
 
