@@ -64,8 +64,16 @@ def thumbnail_layout(spark, sf_dir):
     return view.thumbnails(rows).select("doc", "src", F.round("slot", 6).alias("slot"), F.round("top", 6).alias("top"))
 
 
-PAGE = {"x": F.col("px"), "y": F.col("py"), "w": F.col("pw"), "h": F.col("ph")}
-VIEW = {"x": F.col("vx"), "y": F.col("vy"), "w": F.lit(800.0), "h": F.lit(600.0)}
+
+
+def page_box():
+    return {c: F.col(f"p{c}") for c in "xywh"}
+
+
+def view_box():
+    return {"x": F.col("vx"), "y": F.col("vy"), "w": F.lit(800.0), "h": F.lit(600.0)}
+
+
 SCREEN = ["p_brand AS doc", "p_partkey AS src", "cast(p_size * 3 as double) AS px", "cast(p_partkey % 211 * 9 as double) AS py", "cast(p_size * 20 as double) AS pw", "cast(p_partkey % 7 * 100 as double) AS ph", "cast(p_partkey % 40 * 25 as double) AS vx", "cast(p_partkey % 90 * 20 as double) AS vy"]
 SCREEN_SQL = "SELECT p_brand AS doc, p_partkey AS src, (p_size * 3)::DOUBLE AS px, (p_partkey % 211 * 9)::DOUBLE AS py, (p_size * 20)::DOUBLE AS pw, (p_partkey % 7 * 100)::DOUBLE AS ph, (p_partkey % 40 * 25)::DOUBLE AS vx, (p_partkey % 90 * 20)::DOUBLE AS vy FROM part"
 SHOWN_SQL = f"""SELECT *, greatest(vx, px) AS x0, greatest(vy, py) AS y0, least(vx + 800, px + pw) AS x1, least(vy + 600, py + ph) AS y1 FROM ({SCREEN_SQL})"""
@@ -80,8 +88,8 @@ def screens(spark, sf_dir):
     FROM (SELECT *, ph > 0 AND x1 > x0 AND y1 > y0 AS s FROM ({SHOWN_SQL}))""")
 def viewport_fractions(spark, sf_dir):
     """GEO-09: the part of a page that shows, the view's corner in page space, and the way back."""
-    part, page = geo.view_fraction(PAGE, VIEW), {**PAGE, "h": F.nullif("ph", F.lit(0.0))}
-    ox, oy = geo.view_origin(page, VIEW)
+    part, page = geo.view_fraction(page_box(), view_box()), {**page_box(), "h": F.nullif("ph", F.lit(0.0))}
+    ox, oy = geo.view_origin(page, view_box())
     bx, by = geo.scroll_to(page, ox, oy)
     r = lambda c, n: F.round(c, 9).alias(n)
     there = F.col("ph") > 0
@@ -91,16 +99,16 @@ def viewport_fractions(spark, sf_dir):
 @query("last_visible_pages", f"SELECT doc, coalesce(max(src) FILTER (ph > 0 AND x1 > x0 AND y1 > y0), -1) AS page FROM ({SHOWN_SQL}) GROUP BY doc")
 def last_visible_pages(spark, sf_dir):
     """CMP-09."""
-    return screens(spark, sf_dir).groupBy("doc").agg(F.coalesce(F.max(F.when(geo.view_fraction(PAGE, VIEW).isNotNull(), F.col("src"))), F.lit(-1)).alias("page"))
+    return screens(spark, sf_dir).groupBy("doc").agg(F.coalesce(F.max(F.when(geo.view_fraction(page_box(), view_box()).isNotNull(), F.col("src"))), F.lit(-1)).alias("page"))
 
 
 @query("anchored_scrolls", f"""WITH s AS (SELECT doc, src, px, py, pw, ph, vx, vy FROM ({SCREEN_SQL}) WHERE ph > 0)
     SELECT doc, src, round(greatest(0, py * 2 + greatest(0, least(1, (vy + 100 - py) / ph)) * ph * 2 - 100), 6) AS top, round(greatest(0, px * 2 + greatest(0, least(1, (vx + 60 - px) / pw)) * pw * 2 - 60), 6) AS "left" FROM s""")
 def anchored_scrolls(spark, sf_dir):
     """GEO-07: zoom to twice the size around a point of the view."""
-    new = {k: c * 2 for k, c in PAGE.items()}
-    top = geo.anchored_scroll(PAGE, new, F.col("vy"), F.lit(100.0), "y", "h")
-    left = geo.anchored_scroll(PAGE, new, F.col("vx"), F.lit(60.0), "x", "w")
+    new = {k: c * 2 for k, c in page_box().items()}
+    top = geo.anchored_scroll(page_box(), new, F.col("vy"), F.lit(100.0), "y", "h")
+    left = geo.anchored_scroll(page_box(), new, F.col("vx"), F.lit(60.0), "x", "w")
     return screens(spark, sf_dir).where("ph > 0").select("doc", "src", F.round(top, 6).alias("top"), F.round(left, 6).alias("left"))
 
 
