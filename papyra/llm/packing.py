@@ -6,10 +6,9 @@ shard not yet used follow by BM25 score until the window is full; the last one i
 
 The index is sharded by content: documents are sorted by the `LEADS` terms of largest BM25 weight, and each run of
 `local_docs` documents of that order is a shard. So documents that share what is most telling in them meet in a shard at
-every corpus size, and a group of any size, copies included, is cut into shards of bounded size. For this order alone, idf
-and mean length are those of about `sample_docs` documents (all, where there are fewer), and a term that only one of them
-has leads nothing; so one pass tokenizes, leads and counts. One shuffle, of ids, makes the order; work grows in proportion
-to the input.
+every corpus size, and a group of any size, copies included, is cut into shards of bounded size. One pass tokenizes and
+counts all documents; a second reads the ids and finds what leads each document, by the idf and mean length of all. A term
+that only one document has leads nothing. One shuffle, of ids, makes the order; work grows in proportion to the input.
 
 A shard leaves one open window at most. Open windows are units of the next level, which packs them in the same way, in the
 same order; so each level has 1/local_docs of the units of the one before, and the last, of one shard, cuts what is left
@@ -218,7 +217,7 @@ def encoder(path: str | None) -> Encoder:
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about SLICE bytes of text."""
+    """Parts of a batch of about SLICE bytes of a column."""
     size = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0)))
     at = 0
     while at < len(batch):
@@ -227,7 +226,8 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-TOKENS = "doc_id long, __id long, __t1 long, ids binary, width int, lead1 long, lead2 long, lead3 long, df binary"
+TOKENS = "doc_id long, __id long, __t1 long, ids binary, width int, df binary"
+LED = "doc_id long, __id long, __t1 long, ids binary, width int, lead1 long, lead2 long, lead3 long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: What a level gives: pieces of full sequences, and open windows (pos, parts of documents, terms and weights of the seed).
 PART = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("tokens", pa.int64())])
@@ -269,11 +269,9 @@ def weights(tf: np.ndarray, idf: np.ndarray, size: float | np.ndarray, mean: flo
     return np.rint(UNIT * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)))
 
 
-def leads(terms: np.ndarray, tf: np.ndarray, own: np.ndarray, sizes: np.ndarray, known: tuple) -> list[np.ndarray]:
-    """The terms of largest weight of each document, -1 where there are fewer that two documents of the sample have."""
-    n, mean, df = known
-    seen = np.where(terms < len(df), df[np.minimum(terms, len(df) - 1)], 0) if len(df) else np.zeros(len(terms))
-    weight = np.where(seen > 1, weights(tf, np.log(1 + (n - seen + 0.5) / (seen + 0.5)), np.repeat(sizes, own), mean), 0).astype(np.int64)
+def leads(terms: np.ndarray, tf: np.ndarray, own: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float) -> list[np.ndarray]:
+    """The terms of largest weight of each document, -1 where there are fewer of any weight."""
+    weight = weights(tf, idf[terms], np.repeat(sizes, own), mean).astype(np.int64)
     key, first, out = weight << 32 | (0xFFFFFFFF - terms.astype(np.int64)), np.cumsum(own) - own, []
     for _ in range(LEADS):
         top = np.maximum.reduceat(key, first)
@@ -282,9 +280,9 @@ def leads(terms: np.ndarray, tf: np.ndarray, own: np.ndarray, sizes: np.ndarray,
     return out
 
 
-def tokenized(path: str | None, sent=None):
+def tokenized(path: str | None):
     """Rows (doc_id, __id, __t1, text) to TOKENS, some MB of text at a time; a last row has the task's counts alone: documents,
-    tokens, terms, and the documents of each term. sent: the statistics that leads go by, without which there are none."""
+    tokens, terms, and the documents of each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -294,21 +292,32 @@ def tokenized(path: str | None, sent=None):
             for own in slices(batch, 3):
                 ids, sizes = enc.ids(own.column(3).fill_null(""))
                 ids, sizes = ended(ids.astype(kind, copy=False), sizes)
-                terms, tf, each = counted(ids, sizes)
+                terms, _, _ = counted(ids, sizes)
                 part = np.bincount(terms, minlength=len(df))
                 part[: len(df)] += df
                 df, n, tokens = part, n + len(sizes), tokens + len(ids)
-                if sent is None:
-                    continue
-                columns = [blobs(ids, sizes), pa.array(np.full(len(own), kind.itemsize, dtype=np.int32)), *map(pa.array, leads(terms, tf, each, sizes, sent.value)), pa.nulls(len(own), pa.binary())]
+                columns = [blobs(ids, sizes), pa.array(np.full(len(own), kind.itemsize, dtype=np.int32)), pa.nulls(len(own), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(3)), *columns], names(TOKENS))
         term = np.flatnonzero(df)
-        last = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32())] + [pa.nulls(1, pa.int64())] * LEADS
+        last = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32())]
         yield pa.RecordBatch.from_arrays([*last, pa.array([np.concatenate([[n, tokens], term, df[term]]).astype("<i8").tobytes()], pa.binary())], names(TOKENS))
 
     return run
 
 
+def led(sent):
+    """Rows of TOKENS, without df, to LED, some MB of ids at a time. sent: idf, 0 of terms that lead nothing, and mean length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean = sent.value
+        for batch in batches:
+            for own in slices(batch, 3):
+                ids, sizes = joined(own.column(3).to_pylist(), f"<u{own.column(4)[0].as_py()}")
+                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, leads(*counted(ids, sizes), sizes, idf, mean))], names(LED))
+
+    return run
+
+
 def term_df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (df) to (term, n); -1 counts documents and -2 tokens."""
     for batch in batches:
@@ -490,7 +499,7 @@ class Packer:
 
 
 class DocumentPacker(Packer):
-    """The first level: rows of TOKENS. Whole windows of a document leave at once; the rest is its unit, its whole text the query."""
+    """The first level: rows of LED. Whole windows of a document leave at once; the rest is its unit, its whole text the query."""
 
     def __init__(self, window: int, local_docs: int, sent):
         super().__init__(1, window, local_docs)
@@ -516,7 +525,7 @@ class DocumentPacker(Packer):
         return self.all[0][own], self.all[1][own]
 
 
-def pack_documents(docs: DataFrame, window: int = 2048, tokenizer: str | None = None, seed: int = 11, local_docs: int = 512, sample_docs: int = 8192) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = 2048, tokenizer: str | None = None, seed: int = 11, local_docs: int = 512) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): each token of each row lies in one of them.
 
     A document's tokens are the tokenizer's ids and one END. A null text is empty, one token; a null doc_id stays null.
@@ -527,20 +536,21 @@ def pack_documents(docs: DataFrame, window: int = 2048, tokenizer: str | None =
     scratch = Scratch(spark, "packing")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), text), text.alias("text"))
-    every = -(-rows.count() // sample_docs)
-    sample = rows.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0) if every > 1 else rows
-    known = spark.sparkContext.broadcast(statistics(sample.mapInArrow(freeing(tokenized(tokenizer)), TOKENS)))
-    made = scratch.write(rows.mapInArrow(freeing(tokenized(tokenizer, known)), TOKENS), "tokens")
+    made = scratch.write(rows.mapInArrow(freeing(tokenized(tokenizer)), TOKENS), "tokens")
     n, mean, df = statistics(made)
     if not n:
         return spark.createDataFrame([], PIECES)
-    sent = spark.sparkContext.broadcast((np.log(1 + (n - df + 0.5) / (df + 0.5)), mean))
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    sent, leading = (spark.sparkContext.broadcast((x, mean)) for x in (idf, np.where(df > 1, idf, 0.0)))
+    rows = made.where(F.col("df").isNull()).drop("df")
+    rows = scratch.write(rows.mapInArrow(freeing(led(leading)), LED), "led")
+    scratch.drop("tokens")
 
     # a row number deals out rows that repeat, so that no key is larger than a shard
     keys = [*(F.col(f"lead{k + 1}") for k in range(LEADS)), F.xxhash64(F.lit(seed), "__id", "__t1"), F.col("__id"), F.col("__t1"), F.col("__m")]
     parts = max(spark.sparkContext.defaultParallelism, -(-n // 16384))
-    rows = made.where(F.col("df").isNull()).withColumn("__m", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*names(TOKENS))
+    rows = rows.withColumn("__m", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*names(LED))
     level = 1
     levels = [scratch.write(rows.mapInArrow(freeing(DocumentPacker(window, local_docs, sent)), LEVEL), "level-1")]
     while units := (left := levels[-1].where(F.col("pos").isNotNull()).select(*names(OPEN))).count():

@@ -70,3 +70,17 @@ def test_copies_nulls_and_no_rows(spark):
     assert sum(r["length"] for r in rows if r["start"] == 0) > 0
     assert {r["doc_id"] for r in rows} == {*range(300), None}
     assert packed(spark.createDataFrame([], kind)) == []
+
+
+def test_leads_count_every_document(spark):
+    # far more documents than a sample of some thousands; a word's two documents meet only where both are counted
+    words = single_token_words(9000)
+    docs = [(i, f"{words[i % 9000]} the of and to in a is that common words here") for i in range(18000)]
+    rows = packed(spark.createDataFrame(docs, "doc_id long, text string"), window=64, local_docs=64)
+    assert len(check_whole(rows, 64)) == 18000
+    at = {}
+    for r in rows:
+        at.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    together = sum(bool(at[i] & at[i + 9000]) for i in range(9000))
+    rate = together / len({r["sequence_id"] for r in rows})
+    assert rate > 0.5, (together, rate)
