@@ -10,6 +10,7 @@ from test_langid import some_documents
 from test_line_dedup import plain as plain_lines
 from test_mixing import targets
 from test_packing import exact
+from test_packing_reach import check_whole, single_token_words
 
 import corpus_pipeline as cp
 from papyra.llm import packing
@@ -85,6 +86,19 @@ def test_packing_stage(spark):
     exact(STAGES["packing"](spark, table(spark, docs), "").collect(), docs, packing.Encoder(None).tokenizer, 2048)
 
 
+def test_packing_stage_leads_by_every_document(spark):
+    words = single_token_words(9000)
+    docs = [(i, f"{words[i % 9000]} the of and to in a is that common words here", "en", "a") for i in range(18000)]
+    rows = [r.asDict() for r in STAGES["packing"](spark, table(spark, docs), "").collect()]
+    assert len(check_whole(rows, 2048)) == 18000
+    at = {}
+    for r in rows:
+        at.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    # of any two documents that share a word, which no others have, most lie in one sequence; a sample counts few such words twice
+    together = sum(bool(at[i] & at[i + 9000]) for i in range(9000))
+    assert together > 6000, together
+
+
 def test_all_stages_in_turn(spark, tmp_path):
     docs = [(*d, None) for d in corpus.edge_documents()] + some_documents(150)
     table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
