@@ -5,9 +5,9 @@ mask with a bit for each language, so the AND of an n-gram's few slots gives at
 For a text, the bits are counted for each language, and each count is corrected for the filter's measured rate of
 false positives; the largest corrected share of the text's n-grams decides.
 
-Learning reads a sample of about `sample_docs` labelled texts a language (all, where there are fewer), chosen by a hash; it
-keeps at most `grams` n-grams a language, and 2**20 in all: beyond 52 languages each has fewer. Filters have a slot of 1 bit
-for each language in each of 2**20 places, in words of 64 languages, however many languages there are.
+Learning counts the n-grams of all labelled texts, summed within a task while they are few; it keeps at most `grams` n-grams
+a language, and 2**20 in all: beyond 52 languages each has fewer. Filters have a slot of 1 bit for each language in each of
+2**20 places, in words of 64 languages, however many languages there are.
 Prediction is one map-only pass over whole texts. Texts beyond PIECE characters are read in pieces that end between words;
 within a longer word pieces overlap, so that each n-gram counts once (at such a cut one of three letters counts twice).
 """
@@ -18,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import free_name, freeing
+from papyra.llm.common import Scratch, free_name, freeing
 
 UNKNOWN = "und"
 SIZES = (3, 4)
 PIECE, OVERLAP = 1 << 17, max(SIZES) - 1
+#: Counts that a task holds while it learns.
+HELD = 1 << 21
 _letters: np.ndarray | None = None
 
 
@@ -149,8 +151,24 @@ class Filters:
         return [self.langs[i] if y else UNKNOWN for i, y in zip(best, lettered, strict=True)], [float(s) if y else 0.0 for s, y in zip(share.max(axis=0), lettered, strict=True)]
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of several (keys, counts), and the sum of each key's counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, text) to (lang, gram, n), summed within a batch."""
+    """Rows (lang, text) to (lang, gram, n), summed within a task; counts leave when HELD / 2 n-grams or more are different."""
+    held, size = {}, 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            for keys, n in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+
     for batch in batches:
         langs = np.asarray(batch.column(0).to_pylist(), dtype=object)
         texts = batch.column(1).to_pylist()
@@ -158,12 +176,64 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [t or "" for t, x in zip(texts, langs, strict=True) if x == lang]
             for _, group, cut in pieces(own):
                 for keys, _doc in grams(group, cut):
+                    if not len(keys):
+                        continue
                     k, n = np.unique(keys.view(np.int64), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n, pa.int64())], ["lang", "gram", "n"])
-
-
-def fit(labelled: DataFrame, sample_docs: int = 1500, grams: int = 20_000, least_part: float = 0.05, seed: int = 5) -> Filters:
-    """Learns from rows (doc_id, text, lang). Languages are ordered by number of rows, then name; ties go to the first.
+                    held.setdefault(lang, []).append((k, n.astype(np.int64)))
+                    size += len(k)
+                if size >= HELD:
+                    held = {x: [summed(parts)] for x, parts in held.items()}
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size >= HELD // 2:
+                        yield from out()
+                        held, size = {}, 0
+    held = {x: [summed(parts)] for x, parts in held.items()}
+    yield from out()
+
+
+def cut(histogram: DataFrame, left: dict[str, int], falling: bool = False) -> dict[str, tuple[int, int]]:
+    """From rows (lang, v, rows), for each language of `left` that has more rows than it may keep: the v at which they end, in
+    rising or falling order, and how many rows of this v stay."""
+    found = histogram.toArrow()
+    langs = np.asarray(pc.index_in(found.column("lang"), pa.array(list(left), pa.string())))
+    v, rows, out = np.asarray(found.column("v")), np.asarray(found.column("rows")), {}
+    for i, (lang, most) in enumerate(left.items()):
+        own = np.flatnonzero(langs == i)
+        own = own[np.argsort(-v[own] if falling else v[own])]
+        ends = np.cumsum(rows[own])
+        if len(own) and ends[-1] > most:
+            k = int(np.searchsorted(ends, most))
+            out[lang] = int(v[own[k]]), int(most - ends[k] + rows[own[k]])
+    return out
+
+
+def most_frequent(counted: DataFrame, langs: list[str], most: int) -> DataFrame:
+    """Of rows (lang, gram, n), those of the `most` largest n of each language; ties go to smaller grams.
+
+    A language's rows never meet in one task: counts of the rows of each n, then of each value of the first 16 bits of the
+    grams that tie, come to the driver and tell where to cut; the few grams that share those bits come as they are.
+    """
+    spark = counted.sparkSession
+    at = cut(counted.groupBy("lang", F.col("n").alias("v")).agg(F.count("*").alias("rows")), dict.fromkeys(langs, most), falling=True)
+    if not at:
+        return counted
+    ends = spark.createDataFrame([(x, v) for x, (v, _) in at.items()], "lang string, end long")
+    ties = counted.join(F.broadcast(ends), "lang").where(F.col("n") == F.col("end"))
+    bits = F.shiftright("gram", 48)
+    first = cut(ties.groupBy("lang", bits.alias("v")).agg(F.count("*").alias("rows")), {x: stay for x, (_, stay) in at.items()})
+    prefix = spark.createDataFrame([(x, v) for x, (v, _) in first.items()], "lang string, prefix long")
+    last = cut(ties.join(F.broadcast(prefix), "lang").where(bits == F.col("prefix")).select("lang", F.col("gram").alias("v"), F.lit(1).alias("rows")), {x: stay for x, (_, stay) in first.items()})
+    # where all rows of an n or of a prefix stay, nothing after it is cut
+    top = 2**63 - 1
+    limit = {x: last[x][0] if x in last else ((first[x][0] + 1 << 48) - 1 if x in first else top) for x in at}
+    limits = spark.createDataFrame([(x, v, limit[x]) for x, (v, _) in at.items()], "lang string, end long, upto long")
+    rows = counted.join(F.broadcast(limits), "lang", "left")
+    stay = F.col("end").isNull() | (F.col("n") > F.col("end")) | (F.col("n") == F.col("end")) & (F.col("gram") <= F.col("upto"))
+    return rows.where(stay).select("lang", "gram", "n")
+
+
+def fit(labelled: DataFrame, grams: int = 20_000, least_part: float = 0.05) -> Filters:
+    """Learns from all rows (text, lang) whose lang is not null. Languages are ordered by number of rows, then name; ties go to the first.
 
     A language contains an n-gram if its share of the language's n-grams is at least least_part of its share in the
     language where that is largest: quotations and mislabelled texts don't count. The values of lang, a code each, come to
@@ -173,20 +243,19 @@ def fit(labelled: DataFrame, sample_docs: int = 1500, grams: int = 20_000, least
     langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not langs:
         return Filters([], [])
-    part = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
-    sample = labelled.where(draw < F.coalesce(F.try_element_at(part, F.col("lang")), F.lit(0.0))).select("lang", "text")
-    counted = sample.mapInArrow(freeing(gram_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = counted.withColumn("part", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
+    counted = labelled.select("lang", "text").mapInArrow(freeing(gram_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    scratch = Scratch(labelled.sparkSession, "language-id")
+    counted = scratch.write(counted, "grams")
+    all_of = counted.groupBy("lang").agg(F.sum("n").alias("all"))  # a row for each language
+    counted = counted.join(F.broadcast(all_of), "lang").withColumn("part", F.col("n") / F.col("all")).drop("all")
     by_gram = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n", "part")).alias("in"))  # a row for each language at most
     largest = F.array_max(F.transform("in", lambda x: x["part"]))
     counted = by_gram.select("gram", F.explode(F.filter("in", lambda x: x["part"] >= least_part * largest)).alias("x")).select("gram", "x.lang", "x.n")
     most = max(1, min(grams, (1 << 20) // len(langs)))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
-    members = {r["lang"]: np.array(r["grams"], dtype=np.int64).view(np.uint64) for r in top.collect()}
     names = [r["lang"] for r in langs]
-    return Filters(names, [members.get(x, np.zeros(0, dtype=np.uint64)) for x in names])
+    top = most_frequent(scratch.write(counted, "own"), names, most).select("lang", "gram").toArrow()
+    index, keys = np.asarray(pc.index_in(top.column("lang"), pa.array(names, pa.string()))), np.asarray(top.column("gram")).view(np.uint64)
+    return Filters(names, [keys[index == i] for i in range(len(names))])
 
 
 def predicted(sent, text: int):
@@ -217,7 +286,7 @@ def identify(docs: DataFrame, into: str = "language") -> DataFrame:
     """
     spark = docs.sparkSession
     free_name(docs, into)
-    filters = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    filters = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
     sent = spark.sparkContext.broadcast(filters)
     schema = T.StructType([*docs.schema, T.StructField("__guess", T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))])
     rows = docs.mapInArrow(freeing(predicted(sent, docs.columns.index("text"))), schema)

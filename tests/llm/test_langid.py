@@ -2,8 +2,10 @@
 
 import random
 import zlib
+from collections import Counter
 
 import corpus
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,27 @@ def test_more_than_256_languages():
     masks = filters.masks(keys[299:300])
     assert masks[299 // 64][0] >> langid.np.uint64(299 % 64) & langid.np.uint64(1)
     assert len(masks) == 5
+
+
+def test_counts_of_a_task_are_whole_however_few_it_holds(monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice(list(LETTERS)), corpus.words(rng, 60, rng.choice(list(LETTERS.values()))) if i % 7 else None) for i in range(40)]
+    want = Counter((lang, hashed(g)) for lang, text in rows for g in plain_grams(text or ""))
+    batches = [pa.RecordBatch.from_pylist([{"lang": a, "text": b} for a, b in rows[k : k + 9]], pa.schema([("lang", pa.string()), ("text", pa.string())])) for k in range(0, 40, 9)]
+    for most in (langid.HELD, 500, 1):
+        monkeypatch.setattr(langid, "HELD", most)
+        got = Counter()
+        for batch in langid.gram_counts(iter(batches)):
+            for r in batch.to_pylist():
+                got[r["lang"], r["gram"] % 2**64] += r["n"]
+        assert got == want
+
+
+def test_most_frequent_are_those_of_a_full_ranking(spark):
+    rng = random.Random(6)
+    rows = [(x, rng.choice([k, k << 48]) - rng.choice([0, 1 << 62]), rng.randint(1, 3)) for x, many in (("a", 200), ("b", 30), ("c", 4)) for k in range(many)]
+    rows = list({(x, g): (x, g, n) for x, g, n in rows}.values())
+    df = spark.createDataFrame(rows, "lang string, gram long, n long").repartition(3)
+    for most in (1, 7, 30, 61, 130, 200, 500):
+        want = [r for x in "abc" for r in sorted((r for r in rows if r[0] == x), key=lambda r: (-r[2], r[1]))[:most]]
+        assert sorted(map(tuple, langid.most_frequent(df, ["a", "b", "c"], most).collect())) == sorted(want)

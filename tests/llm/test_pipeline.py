@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import corpus
@@ -36,6 +37,13 @@ def test_language_stage_rejects_only_what_is_in_no_language(spark):
     assert all(r.lang for r in out.collect())
 
 
+def test_language_stage_learns_from_every_labelled_text(spark):
+    # no two texts share a letter: a text that is not learned from is in no known language
+    docs = [(i, "".join(chr(0x4E00 + 3 * i + k) for k in range(3)), "zh", "a") for i in range(3000)]
+    kept = {r.doc_id for r in STAGES["language_id"](spark, table(spark, docs), "").collect()}
+    assert kept >= {i for i in range(3000) if zlib.crc32(str(i).encode()) % 5}
+
+
 def test_line_stage(spark):
     docs = corpus.edge_documents()
     df = table(spark, docs)
