@@ -20,6 +20,7 @@ Weights are rounded to 1/UNIT, so that sums are exact; equal scores go by the or
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -129,6 +130,8 @@ class Encoder:
     MARKS, WIDTHS = ".,", (6, 9, 12, 16, 32)
 
     def __init__(self, path: str | None):
+        # a task has one core: the tokenizer's threads take CPU seconds, and each keeps a heap of its own in every worker
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         if path is None:
@@ -217,11 +220,13 @@ def encoder(path: str | None) -> Encoder:
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about SLICE bytes of a column."""
+    """Parts of a batch of about SLICE bytes of a column, as even as rows allow."""
     size = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0)))
+    parts = round(size[-1] / SLICE) if len(size) else 0
+    part = size[-1] / parts if parts else SLICE
     at = 0
     while at < len(batch):
-        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE)) + 1
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + part)) + 1
         yield batch.slice(at, end - at)
         at = end
 
