@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,24 @@ def freeing(run: Callable) -> Callable:
     return wrapped
 
 
+#: Rows that go to a Python worker, or come back, at a time.
+BATCH_ROWS = 2048
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that run meanwhile move BATCH_ROWS rows at a time, not Spark's 10,000: of whole texts, those are tens of MB, which
+    the executor and each of its workers hold several times over, outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:  # 0 and less: no limit
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables of one operator call, written to the shared folder; a lost executor rereads them."""
 
@@ -61,7 +80,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.path}/{name}"
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        with small_batches(self.spark):
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import KEPT, Scratch, freeing, heavy_join, row_key, set_up_shared
+from papyra.llm.common import KEPT, Scratch, freeing, heavy_join, row_key, set_up_shared, small_batches
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -142,7 +142,8 @@ def word_df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def idf_table(docs: DataFrame) -> np.ndarray:
     """idf of each bucket, over all documents: 2**18 rows at most come back."""
     n = docs.count()
-    rows = docs.select("text").mapInArrow(freeing(word_df), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(freeing(word_df), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(1 << BUCKETS)
     df[np.asarray(rows.column("bucket"))] = np.asarray(rows.column("n"))
     return 1 + np.log((n + 1) / (df + 1)) / np.log(n + 2)
