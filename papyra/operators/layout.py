@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,11 +24,13 @@ def columns(runs: DataFrame, gap: Column) -> DataFrame:
     return island.groupBy("page", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).drop("island")
 
 
-def tiles(size: DataFrame, key: str, tile: int) -> DataFrame:
-    """Tiles (key, x, y, w, h) of pictures (key, width, height), the last of a row or column cut."""
-    steps = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1, F.lit(tile))).otherwise(F.array().cast("array<int>"))
-    grid = size.select(key, "width", "height", F.explode(steps("height")).alias("y")).select("*", F.explode(steps("width")).alias("x"))
-    return grid.select(key, "x", "y", F.least(F.lit(tile), F.col("width") - F.col("x")).alias("w"), F.least(F.lit(tile), F.col("height") - F.col("y")).alias("h"))
+def tiles(size: DataFrame, key: str, tile: int, across: Callable = lambda x, w: F.lit(True), down: Callable = lambda y, h: F.lit(True)) -> DataFrame:
+    """Tiles (key, x, y, w, h) of pictures (key, width, height), the last of a row or column cut. Others than those for which
+    across(x, w) and down(y, h) hold, conditions on columns of the picture too, are not made."""
+    cut = lambda c, at: F.least(F.lit(tile), F.col(c) - at)
+    steps = lambda c, keep: F.filter(F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1, F.lit(tile))).otherwise(F.array().cast("array<int>")), lambda at: keep(at, cut(c, at)))
+    grid = size.select("*", F.explode(steps("height", down)).alias("y")).select("*", F.explode(steps("width", across)).alias("x"))
+    return grid.select(key, "x", "y", cut("width", F.col("x")).alias("w"), cut("height", F.col("y")).alias("h"))
 
 
 def nested(headings: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyra.functions import geometry as geo
+from papyra.operators import layout
 
 #: Room around the view whose tiles are shown, thumbnail width, padding and gap, and preview characters of a note.
 TILE_MARGIN, THUMB, SLOT, GAP, NOTE, TABS = 768, 148, 30, 10, 220, 30
@@ -38,14 +39,13 @@ def decimated(points: Column, least: float = 1.2) -> Column:
     return F.aggregate(points.cast(kind), F.array().cast(kind), step)
 
 
-def visible_tiles(tiles: DataFrame, views: DataFrame, key: str) -> DataFrame:
-    """Tiles (key, x, y, w, h) within the view's device rectangle (key, vx, vy, vw, vh) and a margin; none where the view misses the page (pw, ph)."""
-    rows = tiles.join(views, key)
+def visible_tiles(pictures: DataFrame, key: str, tile: int) -> DataFrame:
+    """Tiles (key, x, y, w, h) of pictures (key, width, height) within the view's device rectangle (vx, vy, vw, vh) of the same row
+    and a margin; none where the view misses the picture. A row makes its own tiles, only those in view: nothing is joined."""
     x0, y0 = F.greatest(F.lit(0.0), F.col("vx") - TILE_MARGIN), F.greatest(F.lit(0.0), F.col("vy") - TILE_MARGIN)
-    x1, y1 = F.least(F.col("pw"), F.col("vx") + F.col("vw") + TILE_MARGIN), F.least(F.col("ph"), F.col("vy") + F.col("vh") + TILE_MARGIN)
-    meets = (x1 > 0) & (x0 < F.col("pw")) & (y1 > 0) & (y0 < F.col("ph"))
-    inside = (F.col("x") + F.col("w") >= x0) & (F.col("x") <= x1) & (F.col("y") + F.col("h") >= y0) & (F.col("y") <= y1)
-    return rows.where(meets & inside).select(*tiles.columns)
+    x1, y1 = F.least(F.col("width"), F.col("vx") + F.col("vw") + TILE_MARGIN), F.least(F.col("height"), F.col("vy") + F.col("vh") + TILE_MARGIN)
+    meets = (x1 > 0) & (x0 < F.col("width")) & (y1 > 0) & (y0 < F.col("height"))
+    return layout.tiles(pictures.where(meets), key, tile, lambda x, w: (x + w >= x0) & (x <= x1), lambda y, h: (y + h >= y0) & (y <= y1))
 
 
 def thumbnails(pages: DataFrame) -> DataFrame:

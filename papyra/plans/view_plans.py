@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyra.functions import geometry as geo
-from papyra.operators import layout, view
+from papyra.operators import view
 from papyra.plans.library_plans import BOX_SQL, SHEETS, SHEETS_SQL, boxes
 from papyra.registry import query, table
 
@@ -45,8 +45,8 @@ PICTURE_SQL = "SELECT p_partkey, p_size * 200 AS width, p_size * 150 + 7 AS heig
 def visible_tiles(spark, sf_dir):
     """CMP-06."""
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size * 200 AS width", "p_size * 150 + 7 AS height", "p_partkey % 3000 AS vx", "p_partkey % 2000 - 500 AS vy")
-    views = rows.select("p_partkey", F.col("vx").cast("double").alias("vx"), F.col("vy").cast("double").alias("vy"), F.lit(800.0).alias("vw"), F.lit(600.0).alias("vh"), F.col("width").cast("double").alias("pw"), F.col("height").cast("double").alias("ph"))
-    return view.visible_tiles(layout.tiles(rows, "p_partkey", 1024), views, "p_partkey")
+    pictures = rows.select("p_partkey", "width", "height", F.col("vx").cast("double").alias("vx"), F.col("vy").cast("double").alias("vy"), F.lit(800.0).alias("vw"), F.lit(600.0).alias("vh"))
+    return view.visible_tiles(pictures, "p_partkey", 1024)
 
 
 @query("tiling_decisions", f"SELECT doc, src, greatest(1, floor(width * 20.0 + 0.5)) * greatest(1, floor(height * 20.0 + 0.5)) > 4000000 AS tiled FROM (SELECT {SHEETS_SQL})")
