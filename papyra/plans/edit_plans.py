@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import validate
 from papyra.operators import edits, layout
-from papyra.registry import query, table
+from papyra.registry import placed, query, table
 
 #: A log made of events: every user has a document of six pages, with two annotations of the file on page 1.
 OPEN = '{"sizes":[[612,792],[612,792],[300,400],[595,842],[612,792],[200,900]]}'
@@ -87,8 +87,10 @@ def plan_imports(spark, sf_dir):
 @query("annotations_changed", """WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS id, any_value(l_returnflag) AS kind, any_value(l_quantity) AS x, any_value(l_tax) AS opacity FROM lineitem GROUP BY ALL)
     SELECT doc, id, id % 3 = 1 OR (id % 3 = 2 AND x IS DISTINCT FROM 10.0) AS changed FROM a""")
 def annotations_changed(spark, sf_dir):
-    """EDT-05: an annotation is changed if its fingerprint is; a width set to what it was is no change."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("id")).agg(F.any_value("l_returnflag").alias("kind"), F.any_value("l_quantity").alias("x"), F.any_value("l_tax").alias("opacity"))
+    """EDT-05: an annotation is changed if its fingerprint is; a width set to what it was is no change.
+    Of rows with the same key each value is the first in file order that is not null."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place")))
+    rows = placed(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("id")).agg(first("l_returnflag").alias("kind"), first("l_quantity").alias("x"), first("l_tax").alias("opacity"))
 
     def annotation(width, text):
         none = F.lit(None).cast("string")
