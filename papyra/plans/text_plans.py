@@ -297,8 +297,8 @@ def option_labels(spark, sf_dir):
     SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' ELSE (CASE WHEN v < 10 THEN printf('%.1f', floor(v * 10 + 0.5)::DOUBLE / 10) ELSE printf('%.0f', floor(v + 0.5)::DOUBLE) END) || CASE WHEN n < 1048576 THEN ' KB' WHEN n < 1073741824 THEN ' MB' ELSE ' GB' END END AS size FROM v""",
 )
 def size_formats(spark, sf_dir):
-    """TXT-40, of all orders; ties are rounded up."""
-    rows = table(spark, sf_dir, "orders").withColumn("n", F.round(F.col("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 5)).cast("long"))
+    """TXT-40, of all orders; ties are rounded up. Bytes are whole: half of one goes to the even number, as in the SQL's cast."""
+    rows = table(spark, sf_dir, "orders").withColumn("n", F.rint(F.col("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 5)).cast("long"))
     return rows.select("o_orderkey", formats.byte_size(F.col("n")).alias("size"))
 
 
