@@ -23,63 +23,94 @@ KEYWORD, WEAK, PER_GROUP, RECENT, TRACKED = 0.6, 0.4, 5, 4, 60
 GROUPS = ["Recent", "Sections", "Environments", "Tabs", "Navigate", "File", "Edit", "Tools", "Page", "View", "Panels", "Search", "Settings"]
 
 
-def subsequence_score(text: str, query: str) -> float | None:
-    """The best alignment of the query's characters, in order, within the text, regardless of case; None if there is none.
+#: Characters, with what fills rows up, that the kernel takes at a time.
+CELLS = 1 << 17
 
-    A row of best scores by end position for each query character: a match follows its neighbour, or the best end two or
-    more places back, less a cost that grows with the gap. With `best[k] + GAP_EXTEND * k` that is one running maximum.
+
+def subsequence_scores(texts: list[str], query: str) -> list[float | None]:
+    """Of each text the best alignment of the query's characters, in order, regardless of case; None if there is none.
+
+    Texts of like length are scored together, a row each of one table of characters.
     """
     if not query:
-        return 0.0
-    hay, needle = text.lower(), query.lower()
-    if len(needle) > len(hay):
-        return None
-    if hay.startswith(needle):
-        return PREFIX + 200 / (1 + len(text))
-    n, m = len(hay), len(needle)
-    chars, at = np.array(list(hay)), np.arange(n)
-    bound = np.concatenate([[True], np.isin(chars[:-1], [" ", "-", "&", "("])])
+        return [0.0] * len(texts)
+    needle, out, rest = query.lower(), [None] * len(texts), []
+    for i, text in enumerate(texts):
+        hay = text.lower()
+        if hay.startswith(needle):
+            out[i] = PREFIX + 200 / (1 + len(text))
+        elif len(hay) >= len(needle):
+            rest.append((len(hay), i, hay))
+    rest.sort()
+    while rest:
+        n = CELLS // rest[-1][0] or 1  # the longest first: they say how wide the table is
+        rest, some = rest[:-n], rest[-n:]
+        for (_, i, _), found in zip(some, aligned([hay for _, _, hay in some], needle), strict=True):
+            out[i] = found
+    return out
+
+
+def aligned(hays: list[str], needle: str) -> list[float | None]:
+    """A row of best scores by end position for each query character: a match follows its neighbour, or the best end two or
+    more places back, less a cost that grows with the gap. With `best[k] + GAP_EXTEND * k` that is one running maximum.
+    """
+    n, m = max(map(len, hays)), len(needle)
+    chars = np.array(hays, dtype=f"<U{n}").view("<u4").reshape(len(hays), n).astype(np.int64)
+    at = np.arange(n)
+    chars[at >= np.array([len(h) for h in hays])[:, None]] = -1  # beyond a text's end
+    bound = np.ones(chars.shape, dtype=bool)
+    bound[:, 1:] = np.isin(chars[:, :-1], [ord(c) for c in " -&("])
     earned = CHAR + WORD_START * bound
-    hit = chars == needle[0]
+
+    def shifted(x: np.ndarray, by: int, fill: float) -> np.ndarray:
+        moved = np.full(x.shape, fill, dtype=x.dtype)
+        moved[:, by:] = x[:, :-by]
+        return moved
+
+    hit = chars == ord(needle[0])
     best, start = np.where(hit, -LEADING * at + earned, -np.inf), np.where(hit, at, -1)
     for c in needle[1:]:
-        tilted = np.concatenate([[-np.inf, -np.inf], (best + GAP_EXTEND * at)[:-2]]) if n > 2 else np.full(n, -np.inf)
-        top = np.maximum.accumulate(tilted)
-        newer = np.concatenate([[True], tilted[1:] > top[:-1]])
-        source = np.maximum.accumulate(np.where(newer, at, 0))  # where the running maximum comes from, the first of equals
+        tilted = shifted(best + GAP_EXTEND * at, 2, -np.inf)
+        top = np.maximum.accumulate(tilted, axis=1)
+        newer = tilted > shifted(top, 1, -np.inf)
+        newer[:, 0] = True
+        source = np.maximum.accumulate(np.where(newer, at, 0), axis=1)  # where the running maximum comes from, the first of equals
         far = top - GAP_START - GAP_EXTEND * (at - 2)
-        near = np.concatenate([[-np.inf], best[:-1] + CONSECUTIVE])
+        near = shifted(best + CONSECUTIVE, 1, -np.inf)
         follows = (near > -np.inf) & (near >= far)
-        begins = np.where(follows, np.concatenate([[-1], start[:-1]]), start[np.maximum(source - 2, 0)])
-        live = (chars == c) & (follows | (far > -np.inf))
+        begins = np.where(follows, shifted(start, 1, -1), np.take_along_axis(start, np.maximum(source - 2, 0), axis=1))
+        live = (chars == ord(c)) & (follows | (far > -np.inf))
         best, start = np.where(live, np.where(follows, near, far) + earned, -np.inf), np.where(live, begins, -1)
-    end = int(best.argmax())
-    if best[end] == -np.inf:
-        return None
-    span = end - int(start[end]) + 1
-    return None if span > m * MOST_SPREAD and span > LEAST_SPAN else float(best[end])
+    end = best.argmax(axis=1)
+    rows = np.arange(len(hays))
+    score, span = best[rows, end], end - start[rows, end] + 1
+    none = (score == -np.inf) | ((span > m * MOST_SPREAD) & (span > LEAST_SPAN))
+    return [None if lost else x for lost, x in zip(none.tolist(), score.tolist(), strict=True)]
 
 
-def match_score(title: str, keywords: list[str] | None, query: str) -> float | None:
+def subsequence_score(text: str, query: str) -> float | None:
+    return subsequence_scores([text], query)[0]
+
+
+def best_of(title: float | None, keywords: list[float | None]) -> float | None:
     """The title's score or a keyword's, which counts less and never as a prefix."""
-    found = [subsequence_score(title, query)]
-    found += [None if s is None else min(s, PREFIX - 1) * KEYWORD for s in (subsequence_score(k, query) for k in (keywords if keywords is not None else []))]
+    found = [title, *(None if s is None else min(s, PREFIX - 1) * KEYWORD for s in keywords)]
     return max((s for s in found if s is not None), default=None)
 
 
+def match_score(title: str, keywords: list[str] | None, query: str) -> float | None:
+    return best_of(subsequence_score(title, query), subsequence_scores(list(keywords) if keywords is not None else [], query))
+
+
 def score(title: Column, keywords: Column, query: str) -> Column:
-    """Column form of match_score."""
+    """Column form of match_score. Each different text of a batch is scored once, all of them together."""
 
     @F.pandas_udf("double")
     def run(titles: pd.Series, words: pd.Series) -> pd.Series:
-        known: dict = {}
-        out = []
-        for t, w in zip(titles, words, strict=True):
-            key = (t, None if w is None else tuple(w))
-            if key not in known:
-                known[key] = None if t is None else match_score(t, key[1], query)
-            out.append(known[key])
-        return pd.Series(out, dtype="float64")
+        rows = [(t, () if w is None or t is None else tuple(w)) for t, w in zip(titles, words, strict=True)]
+        texts = list({x for t, w in rows if t is not None for x in (t, *w)})
+        known = dict(zip(texts, subsequence_scores(texts, query), strict=True))
+        return pd.Series([None if t is None else best_of(known[t], [known[k] for k in w]) for t, w in rows], dtype="float64")
 
     return run(title, keywords)
 
@@ -104,15 +135,19 @@ def ranked_sections(candidates: DataFrame, query: str, per_group: int = PER_GROU
     if not trimmed:
         return empty
     lower, exact = F.lower("title"), trimmed.lower()
-    rows = candidates.where(F.col("enabled") | (lower == exact)).withColumn("s", score(F.col("title"), F.col("keywords"), trimmed)).where(F.col("s").isNotNull())
-    rows = rows.select("key", "title", "group", "enabled", F.startswith(lower, F.lit(exact)).alias("prefix"), F.when(F.col("enabled"), F.col("s") + usage_boost(F.col("uses"))).otherwise(F.col("s") - 10_000).alias("score"))
-    top = F.max(F.when(F.col("enabled") & ~F.col("prefix"), F.col("score")))
-    floor = rows.agg(F.greatest(F.coalesce(top, F.lit(0.0)) * WEAK, F.lit(1.0)).alias("floor"))  # one row
-    kept = rows.join(F.broadcast(floor)).where(F.col("prefix") | ~F.col("enabled") | (F.col("score") >= F.col("floor"))).drop("floor")
+    rows = candidates.where(F.col("enabled") | (lower == exact)).withColumn("s", score(F.col("title"), F.col("keywords"), trimmed))
+    rows = rows.select("key", "title", "group", (F.startswith(lower, F.lit(exact)) | ~F.col("enabled")).alias("stays"), F.when(F.col("enabled"), F.col("s") + usage_boost(F.col("uses"))).otherwise(F.col("s") - 10_000).alias("score"))
+    # The rows that stay and those that may be noise: of each the best of a group, and what ties with them, are all that can be shown.
+    kinds = W.partitionBy("group", "stays")
+    best = rows.withColumn("place", F.rank().over(kinds.orderBy(F.desc_nulls_last("score")))).where((F.col("place") <= per_group) & F.col("score").isNotNull())
     order = [F.desc("score"), F.collate("title", "UNICODE"), F.col("key")]
-    shown = kept.withColumn("rank", F.row_number().over(W.partitionBy("group").orderBy(*order))).where(F.col("rank") <= per_group)
-    first = shown.where("rank = 1").select("group", F.row_number().over(W.orderBy(*order)).alias("section"))
-    return shown.join(F.broadcast(first), "group").select("section", "group", "rank", "key", "title", "score")
+    best = best.withColumn("place", F.row_number().over(kinds.orderBy(*order))).where(F.col("place") <= per_group)
+    top = F.max(F.when(~F.col("stays"), F.col("score"))).over(W.partitionBy())  # over few rows, as from here on
+    kept = best.withColumn("floor", F.greatest(F.coalesce(top, F.lit(0.0)) * WEAK, F.lit(1.0))).where((F.col("stays") | (F.col("score") >= F.col("floor"))) & F.col("group").isNotNull())
+    groups = W.partitionBy("group").orderBy(*order)
+    shown = kept.select("group", F.row_number().over(groups).alias("rank"), "key", "title", "score", F.first(F.struct("score", "title", "key")).over(groups).alias("f")).where(F.col("rank") <= per_group)
+    section = F.dense_rank().over(W.orderBy(F.desc("f.score"), F.collate("f.title", "UNICODE"), F.col("f.key"), F.col("group")))
+    return shown.select(section.alias("section"), "group", "rank", "key", "title", "score")
 
 
 def default_sections(candidates: DataFrame, recent: DataFrame, per_group: int = PER_GROUP) -> DataFrame:
