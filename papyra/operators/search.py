@@ -110,22 +110,37 @@ def grams_of(text: str) -> list[int]:
     return sorted({int.from_bytes(data[i : i + 4], "big") for i in range(len(data) - 3)})
 
 
+#: Pairs of a gram and a document that a Python worker sorts at a time, and documents that it reads at a time.
+PAIRS, READ = 1 << 20, 256
+
+
+def slots_by_gram(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """(slot, grams) of documents to rows (gram, block, slots), by one sort of numbers that have the gram above and the document below."""
+    held.sort(key=lambda x: x[0])
+    slots = np.array([slot for slot, _ in held], dtype=np.int64)
+    pairs = np.concatenate([np.zeros(0, dtype=np.uint64), *(grams.astype(np.uint64) << np.uint64(32) | np.uint64(i) for i, (_, grams) in enumerate(held))])
+    pairs.sort()
+    gram, slot = (pairs >> np.uint64(32)).astype(np.int64), slots[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (slot[1:] // BLOCK != slot[:-1] // BLOCK)])) if len(gram) else np.zeros(0, dtype=np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)), pa.int32()), pa.array(slot, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(slot[first] // BLOCK), lists], ["gram", "block", "slots"])
+
+
 def gram_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, text) to (gram, block, slots): the documents of a batch that hold a gram."""
+    """Rows (slot, text) to (gram, block, slots): the documents that hold a gram, of so many at a time as have PAIRS grams."""
+    held, pairs = [], 0
     for batch in batches:
-        slots, grams = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for slot, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = np.frombuffer((text or "").encode(), dtype=np.uint8).astype(np.int64)
-            if len(data) >= 4:
-                own = np.unique(data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:])
-                grams.append(own)
-                slots.append(np.full(len(own), slot))
-        gram, slot = np.concatenate(grams), np.concatenate(slots)
-        order = np.lexsort((slot, gram))
-        gram, slot = gram[order], slot[order]
-        first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (slot[1:] // BLOCK != slot[:-1] // BLOCK)])) if len(gram) else np.zeros(0, dtype=np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)), pa.int32()), pa.array(slot, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(slot[first] // BLOCK), lists], ["gram", "block", "slots"])
+        for at in range(0, batch.num_rows, READ):
+            some = batch.slice(at, READ)
+            for slot, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                data = np.frombuffer((text or "").encode(), dtype=np.uint8).astype(np.uint32)
+                if len(data) >= 4:
+                    held.append((slot, np.unique(data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:])))
+                    pairs += len(held[-1][1])
+                if pairs >= PAIRS:
+                    yield slots_by_gram(held)
+                    held, pairs = [], 0
+    yield slots_by_gram(held)
 
 
 def gram_postings(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -222,12 +237,15 @@ def trigram_bitmap(pages: list[str | None]) -> bytes:
     return np.packbits(seen).tobytes()
 
 
-def trigram_bitmaps(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, bits) of documents whose pages are the lines of text: one map-only pass."""
+def bitmap_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text) to (key, bits), 4 kB each, READ of them at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, READ):
+            some = batch.slice(at, READ)
+            bits = [trigram_bitmap((t or "").split("\n")) for t in some.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(bits, pa.binary())], [key, "bits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [trigram_bitmap((t or "").split("\n")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], [key, "bits"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, bits binary")
+def trigram_bitmaps(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, bits) of documents whose pages are the lines of text: one map-only pass."""
+    return docs.select(key, text).mapInArrow(lambda batches: bitmap_rows(batches, key), f"{key} {docs.schema[key].dataType.simpleString()}, bits binary")
