@@ -41,9 +41,15 @@ def index_is_usable(spark, sf_dir):
     return spark.range(1).select(F.lit(store.usable(now.orderBy("size"), root)).alias("same"), F.lit(store.usable(other, root)).alias("changed"), F.lit(absent).alias("absent"))
 
 
+def document_files(spark, sf_dir, *columns):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.expr(PATH).alias("path"), (F.col("doc_id") * 1000).alias("mtime_ms"), (F.col("doc_id") + 7).alias("size"), *columns)
+
+
 def document_pages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "source").select("doc_id", F.expr(PATH).alias("path"), (F.col("doc_id") * 1000).alias("mtime_ms"), (F.col("doc_id") + 7).alias("size"))
-    return tx.with_search_text(pages(spark, sf_dir), breaks=True).join(docs, "doc_id")
+    """Pages with their document's file: both come of one row, so nothing is joined."""
+    rows = document_files(spark, sf_dir, F.posexplode(F.split("text", "\n", -1)).alias("src", "raw"))
+    return tx.with_search_text(rows, breaks=True)
 
 
 DOC_PAGES_SQL = f"""SELECT doc_id, '/lib/' || source || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.pdf' AS path, src, raw, {NORM_SQL} AS norm FROM (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS src, unnest(string_split(text, chr(10))) AS raw FROM documents)"""
@@ -55,7 +61,7 @@ def sidecars_read_back(spark, sf_dir):
     root, rows = store.folder(spark, "sidecars"), document_pages(spark, sf_dir)
     store.write_sidecars(rows, root)
     store.write_sidecars(rows.where("doc_id % 10 = 2").withColumn("normalized", F.concat("normalized", F.lit("!"))), root)
-    docs = rows.select("doc_id", "path", "mtime_ms", "size").distinct()
+    docs = document_files(spark, sf_dir).distinct()
     store.delete_sidecars(docs.where("doc_id % 10 = 3"), root)
     now = docs.withColumn("size", F.col("size") + F.when(F.col("doc_id") % 10 == 4, 1).otherwise(0))
     return store.read_sidecars(now, root).select("path", "src", "text", "folded", "char_count")

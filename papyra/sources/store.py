@@ -14,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyra.operators import search
@@ -74,21 +75,37 @@ def write_sidecars(pages: DataFrame, root: str) -> None:
 
     Only buckets that the paths fall in are rewritten; a bucket's other documents are carried over.
     """
-    spark = pages.sparkSession
     rows = pages.select("path", "mtime_ms", "size", "src", F.col("normalized").alias("text"), "folded", "breaks", F.char_length("raw").alias("char_count"), F.lit(SIDECAR_VERSION).alias("version"), bucket(F.col("path")))
-    if exists(spark, root):
-        old = spark.read.parquet(root).join(rows.select("bucket").distinct(), "bucket", "left_semi").join(rows.select("path").distinct(), "path", "left_anti")
-        staged = f"{root}.{uuid.uuid4().hex}"
-        rows.unionByName(old).write.partitionBy("bucket").parquet(staged)
-        rows = spark.read.parquet(staged)
-        put(rows, root)
-        remove(spark, staged)
+    if exists(pages.sparkSession, root):
+        replace_buckets(rows, root, buckets_of(rows))
     else:
-        put(rows, root)
+        rows.repartition("bucket").sortWithinPartitions("bucket", "path", "src").write.option("compression", "zstd").partitionBy("bucket").parquet(root)
 
 
-def put(rows: DataFrame, root: str) -> None:
-    rows.repartition("bucket").sortWithinPartitions("path", "src").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
+def buckets_of(rows: DataFrame) -> list[int]:
+    return [r.bucket for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
+
+
+def replace_buckets(rows: DataFrame, root: str, buckets: list[int]) -> None:
+    """Puts rows in the place of what their paths had in these buckets; a row without a version only takes its path's away.
+
+    Texts are moved once, by bucket, and written once: new and stored rows meet there in order of path, the new first, and
+    what is written takes the buckets' places by renaming.
+    """
+    spark, staged = rows.sparkSession, f"{root}.{uuid.uuid4().hex}"
+    old = spark.read.parquet(root).where(F.col("bucket").isin(buckets))
+    every = rows.withColumn("__new", F.lit(1)).unionByName(old.withColumn("__new", F.lit(0)), allowMissingColumns=True)
+    first = F.first("__new").over(W.partitionBy("bucket", "path").orderBy(F.desc("__new"), "src").rowsBetween(W.unboundedPreceding, W.currentRow))
+    kept = every.repartition("bucket").withColumn("__first", first).where(((F.col("__new") == F.col("__first")) | F.col("path").isNull()) & F.col("version").isNotNull())
+    kept.drop("__new", "__first").select(*old.columns).write.option("compression", "zstd").partitionBy("bucket").parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for b in buckets:
+        now, new = path(f"{root}/bucket={b}"), path(f"{staged}/bucket={b}")
+        files.delete(now, True)
+        if files.exists(new) and not files.rename(new, now):
+            raise OSError(f"{now} can't be replaced; its rows are in {staged}")
+    remove(spark, staged)
 
 
 def bucket(path: Column) -> Column:
@@ -103,17 +120,10 @@ def read_sidecars(files: DataFrame, root: str) -> DataFrame:
 
 def delete_sidecars(paths: DataFrame, root: str) -> None:
     """Removes documents (path); buckets without them are not touched."""
-    spark = paths.sparkSession
-    left = spark.read.parquet(root)
+    stored = paths.sparkSession.read.parquet(root).schema
     gone = paths.select("path", bucket(F.col("path"))).distinct()
-    staged = f"{root}.{uuid.uuid4().hex}"
-    left.join(gone.select("bucket").distinct(), "bucket", "left_semi").join(gone, "path", "left_anti").write.partitionBy("bucket").parquet(staged)
-    kept = spark.read.schema(left.schema).parquet(staged)
-    empty = [r.bucket for r in gone.select("bucket").distinct().join(kept.select("bucket").distinct(), "bucket", "left_anti").collect()]  # BUCKETS at most
-    put(kept, root)
-    for b in empty:
-        remove(spark, f"{root}/bucket={b}")
-    remove(spark, staged)
+    rows = gone.select(*[F.col(f.name) if f.name in gone.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in stored])
+    replace_buckets(rows, root, buckets_of(gone))
 
 
 def scan_copies(pages: DataFrame) -> DataFrame:
